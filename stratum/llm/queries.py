@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratum.llm import quality_rules, token_counts
+from stratum.llm import decontamination, mixing, quality_rules, sharding, token_counts
 from stratum.llm.common import table
 
 
@@ -14,5 +14,17 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_sharding(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark, sf_dir):
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_quality_rules, op8_sharding, op9_decontamination, op10_mixing)}
+ORACLE_SQL = {"op9_decontamination": decontamination.SQL}
