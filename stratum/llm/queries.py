@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from stratum.llm import decontamination, mixing, quality_rules, sharding, token_counts
+from pyspark.sql import functions as F
+
+from stratum.llm import decontamination, mixing, quality_rules, sharding, substring_dedup, token_counts
 from stratum.llm.common import table
 
 
@@ -10,6 +12,11 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    out = substring_dedup.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
@@ -26,5 +33,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_quality_rules, op8_sharding, op9_decontamination, op10_mixing)}
-ORACLE_SQL = {"op9_decontamination": decontamination.SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_substring_dedup, op5_quality_rules, op8_sharding, op9_decontamination, op10_mixing)}
+ORACLE_SQL = {"op3_substring_dedup": substring_dedup.SQL, "op9_decontamination": decontamination.SQL}
