@@ -62,10 +62,11 @@ def split(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, bounds), len(keys))
 
 
-def exchange(docs: DataFrame, shards: int, block_bytes: int, ask: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
+def exchange(docs: DataFrame, shards: int, block_bytes: int, ask: Callable, answer: Callable, finish: Callable, schema: str, with_slices: bool = False) -> DataFrame:
     """``finish``'s rows for all blocks of ``docs`` (doc_id, text).
 
-    ask(found, shards): blobs for the shards 0, 1, ... of a block; found holds lists of texts in order.
+    ask(found, shards): blobs for the shards 0, 1, ... of a block; found holds lists of texts in order. ``with_slices``
+    also hands it the record batches.
     answer(blobs): the answers to one shard's blobs, in order, and a blob about the shard or None.
     finish(table, answers): the block's rows, from its documents and the shards' answers in order.
     finish(None, blobs): rows from what the shards told of themselves.
@@ -74,7 +75,8 @@ def exchange(docs: DataFrame, shards: int, block_bytes: int, ask: Callable, answ
     def asks(batches):
         number = TaskContext.get().partitionId() << 32
         for slices, found in blocks(batches, block_bytes):
-            blobs = [*enumerate(ask(found, shards)), (shards + number, pack(slices))]
+            more = (slices,) if with_slices else ()
+            blobs = [*enumerate(ask(found, shards, *more)), (shards + number, pack(slices))]
             for i in range(0, len(blobs), 64):
                 part = blobs[i : i + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part]), pa.array([number] * len(part)), pa.array([b for _, b in part], pa.binary())], schema=ROWS)
