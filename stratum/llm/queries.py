@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratum.llm import decontamination, lm_scoring, mixing, quality_rules, sharding, substring_dedup, token_counts
+from stratum.llm import decontamination, language_id, lm_scoring, mixing, quality_rules, sharding, substring_dedup, token_counts
 from stratum.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op6_lm_scoring(spark, sf_dir):
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_substring_dedup, op5_quality_rules, op6_lm_scoring, op8_sharding, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_substring_dedup, op5_quality_rules, op6_lm_scoring, op7_language_id, op8_sharding, op9_decontamination, op10_mixing)}
 ORACLE_SQL = {"op3_substring_dedup": substring_dedup.SQL, "op9_decontamination": decontamination.SQL}
