@@ -3,7 +3,7 @@
 Documents with equal texts are linked. Every document starts in the shard that its id hashes to; then,
 round after round, linked documents move to the shard where most of their group already is, as far as
 that shard's quota allows. Members of a group in one shard are alike, so the graph is held as
-(group, shard, members) and joined with itself, the groups' targets and the shards' quotas; one group
+(group, shard, members) and joined with the shards' room and quotas, round after round; one group
 with a third of all documents is then at most as many rows as there are shards. Documents without a
 link fill up whatever is left, which makes the law exact: ``rows``, counts at most one apart.
 Only DataFrame operations are used.
@@ -20,30 +20,40 @@ from stratum.llm.common import cut
 PIECE = 1000
 
 
+def by_shard(df: DataFrame, shard: str, shards: int) -> list[int]:
+    """Members in all, by shard; one row reaches the driver."""
+    row = df.agg(*(F.sum(F.when(F.col(shard) == s, F.col("n"))).alias(str(s)) for s in range(shards))).first()
+    return [x or 0 for x in row]
+
+
 def propagate(held: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
-    """(grp, shard, n) after the moves; ``held`` is the same before them."""
+    """(grp, shard, n) after the moves; ``held`` is the same before them.
+
+    A round deals the rows by group once. Members move to the shard that has most of their group among those with
+    room, in proportion to the room if more ask than there is; a small group's members in a shard move all or none.
+    """
+    spark, mine = held.sparkSession, Window.partitionBy("grp")
     for k in range(rounds):
-        loads = {r[0]: r[1] for r in held.groupBy("shard").agg(F.sum("n")).collect()}  # one row a shard
-        free = F.array(*(F.lit(max(0, quota - (loads.get(s) or 0))) for s in range(shards)))
-        held_free = held.withColumn("free", F.element_at(free, F.col("shard") + 1))
-        best = F.max(F.when(F.col("free") > 0, F.struct("n", F.xxhash64("grp", "shard").alias("tie"), "shard")))
-        target = held_free.groupBy("grp").agg(best.alias("best")).where(F.col("best").isNotNull())
-        mine = F.struct("n", F.xxhash64("grp", "shard").alias("tie"), "shard")
-        wants = held_free.join(target, "grp", "left").withColumn("goes", F.col("best").isNotNull() & (mine < F.col("best")))
-        wants = cut(wants.select("grp", "shard", "n", F.when(F.col("goes"), F.col("best.shard")).alias("to")))
-        asked = {r[0]: r[1] for r in wants.where("to IS NOT NULL").groupBy("to").agg(F.sum("n")).collect()}
-        if not asked:
+        loads = by_shard(held, "shard", shards)
+        free = F.broadcast(spark.createDataFrame([(s, max(0, quota - n)) for s, n in enumerate(loads)], "shard int, free long"))  # a row a shard
+        own = held.repartition("grp").groupBy("grp", "shard").agg(F.sum("n").alias("n")).join(free, "shard")
+        rank = F.struct("n", F.xxhash64("grp", "shard").alias("tie"), "shard")
+        wants = own.withColumn("rank", rank).withColumn("best", F.max(F.when(F.col("free") > 0, F.col("rank"))).over(mine))
+        wants = cut(wants.select("grp", "shard", "n", F.when(F.col("rank") < F.col("best"), F.col("best.shard")).alias("to")))
+        asked = by_shard(wants, "to", shards)
+        held = wants.select("grp", "shard", "n")
+        if not any(asked):
             break
-        part = F.element_at(F.array(*(F.lit(min(1.0, max(0, quota - (loads.get(s) or 0)) / asked[s]) if asked.get(s) else 0.0) for s in range(shards))), F.col("to") + 1)
-        luck = F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(1 << 20)) / (1 << 20)  # a small group moves whole or not at all
-        moved = F.when(F.col("to").isNull(), 0).when(F.col("n") > max(1, quota // 50), F.floor(F.col("n") * part)).when(luck < part, F.col("n")).otherwise(0).cast("long")
-        both = F.explode(F.array(F.struct(F.col("shard"), (F.col("n") - F.col("moved")).alias("n")), F.struct(F.coalesce("to", "shard").alias("shard"), F.col("moved").alias("n"))))
-        moves = wants.withColumn("moved", moved)
-        held = cut(moves.select("grp", both.alias("x")).select("grp", "x.shard", "x.n").groupBy("grp", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
-    return held
+        parts = [(s, min(1.0, max(0, quota - n) / a)) for s, (n, a) in enumerate(zip(loads, asked, strict=True)) if a]
+        luck = F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(1 << 20)) / (1 << 20)
+        moved = F.when(F.col("n") > max(1, quota // 50), F.floor(F.col("n") * F.col("part"))).when(luck < F.col("part"), F.col("n"))
+        moves = wants.join(F.broadcast(spark.createDataFrame(parts, "to int, part double")), "to", "left").withColumn("moved", F.coalesce(moved, F.lit(0)).cast("long"))
+        both = F.array(F.struct("shard", (F.col("n") - F.col("moved")).alias("n")), F.struct(F.coalesce("to", "shard").alias("shard"), F.col("moved").alias("n")))
+        held = moves.select("grp", F.inline(both)).where("n > 0")
+    return cut(held.groupBy("grp", "shard").agg(F.sum("n").alias("n")))
 
 
-def assign(docs: DataFrame, shards: int = 40, rounds: int = 14) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
     Null texts count as empty ones (size 16) and are equal to them. Repeated rows are rows of their own,
