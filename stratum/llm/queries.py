@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratum.llm import decontamination, language_id, lm_scoring, mixing, quality_rules, sharding, substring_dedup, token_counts
+from stratum.llm import decontamination, language_id, lm_scoring, mixing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 from stratum.llm.common import table
 
 
@@ -12,6 +12,12 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, quality_classifier.grades(table(spark, sf_dir, "labels")), 3)
+    return quality_classifier.score(docs, model)
+
+
 def op3_substring_dedup(spark, sf_dir):
     out = substring_dedup.remove(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -41,5 +47,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_substring_dedup, op5_quality_rules, op6_lm_scoring, op7_language_id, op8_sharding, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_substring_dedup, op5_quality_rules, op6_lm_scoring, op7_language_id, op8_sharding, op9_decontamination, op10_mixing)}
 ORACLE_SQL = {"op3_substring_dedup": substring_dedup.SQL, "op9_decontamination": decontamination.SQL}
