@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratum.llm import decontamination, language_id, lm_scoring, mixing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from stratum.llm import decontamination, jaccard_join, language_id, lm_scoring, mixing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 from stratum.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_substring_dedup, op5_quality_rules, op6_lm_scoring, op7_language_id, op8_sharding, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_substring_dedup, op4_jaccard_join, op5_quality_rules, op6_lm_scoring, op7_language_id, op8_sharding, op9_decontamination, op10_mixing)}
 ORACLE_SQL = {"op3_substring_dedup": substring_dedup.SQL, "op9_decontamination": decontamination.SQL}
