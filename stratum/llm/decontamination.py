@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stratum.llm.common import WordHashes, chunks, shingle_hashes
 
@@ -71,33 +72,41 @@ class Index:
                 yield item, len(own), shared
 
 
+def indexes(items: DataFrame, least: int, block_bytes: int) -> Iterator[Index]:
+    """Items in blocks of about ``block_bytes`` of text: more items mean more passes, not a larger broadcast."""
+    items = items.select("item_id", "text").where(F.col("text").isNotNull())
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-total // block_bytes)
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        yield Index([(r[0], r[1].encode()) for r in part.collect()], least)
+
+
+def matches(index: Index, found: list[bytes], hashes: WordHashes) -> list[tuple[int, int, int, int]]:
+    """(document's place, item, its shingles, those shared)"""
+    words = [b.lower().split() for b in found]
+    ends = np.cumsum([len(w) for w in words])
+    h = np.concatenate([hashes.array(w) for w in words]) if words else np.empty(0, np.uint64)
+    return [(d, *x) for d, c in sorted(index.candidates(h, ends).items()) for x in index.verified(words[d], c)]
+
+
 def find(docs: DataFrame, items: DataFrame, least: int = 80, block_bytes: int = 32 << 20) -> DataFrame:
     """One row for each row of ``docs`` and row of ``items`` it holds: doc_id, item_id, n_item_shingles, n_shared, containment.
 
-    Items go to the executors in blocks of about ``block_bytes`` of text; more items mean more passes over the
-    documents, not a larger broadcast. Null or empty texts on either side match nothing; equal items or
-    documents each give their rows; other columns play no part; an empty table gives an empty result.
+    Null or empty texts on either side match nothing; equal items or documents each give their rows; other columns
+    play no part; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ids = [docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {ids[0]}, item_id {ids[1]}, n_item_shingles long, n_shared long, containment double"
-    items = items.select("item_id", "text").where(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes)
     out = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(Index([(r[0], r[1].encode()) for r in part.collect()], least))
+    for index in indexes(items, least, block_bytes):
+        shared_index = spark.sparkContext.broadcast(index)
 
-        def search(batches, index=index):
+        def search(batches, index=shared_index):
             hashes = WordHashes()
             for batch, found in chunks(batches):
-                ix = index.value
-                words = [b.lower().split() for b in found]
-                ends = np.cumsum([len(w) for w in words])
-                h = np.concatenate([hashes.array(w) for w in words]) if words else np.empty(0, np.uint64)
-                rows = [(d, *x) for d, c in sorted(ix.candidates(h, ends).items()) for x in ix.verified(words[d], c)]
-                if rows:
+                if rows := matches(index.value, found, hashes):
                     at, item, n, shared = (list(x) for x in zip(*rows, strict=True))
                     columns = [batch.column(0).take(pa.array(at)), pa.array(item), pa.array(n, pa.int64()), pa.array(shared, pa.int64()), pa.array([s / m for s, m in zip(shared, n, strict=True)])]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
@@ -107,6 +116,24 @@ def find(docs: DataFrame, items: DataFrame, least: int = 80, block_bytes: int =
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def clean(docs: DataFrame, items: DataFrame, least: int = 80, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns as they are."""
+    spark = docs.sparkSession
+    for index in indexes(items, least, block_bytes):
+        shared_index = spark.sparkContext.broadcast(index)
+
+        def search(batches, index=shared_index):
+            hashes = WordHashes()
+            for batch, found in chunks(batches):
+                hit = np.ones(len(found), bool)
+                hit[[r[0] for r in matches(index.value, found, hashes)]] = False
+                yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(pa.array(hit))
+
+        df = docs.select(F.struct(*docs.columns).alias("row"), "text")
+        docs = df.mapInArrow(search, StructType([df.schema["row"]])).select("row.*")
+    return docs
+
+
 #: The same by plain joins, for the correctness check.
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents WHERE text IS NOT NULL),

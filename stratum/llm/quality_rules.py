@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from stratum.llm.common import texts
+from stratum.llm.common import chunks
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
@@ -56,16 +57,17 @@ def measure(b: bytes) -> tuple[int, ...]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measure(b) for b in texts(batch.column(1))]
+    for batch, found in chunks(batches):
+        rows = [measure(b) for b in found]
         columns = [batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS)))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", *COUNTS])
+        yield pa.RecordBatch.from_arrays(columns, ["row", *COUNTS])
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: its id and counts. A null text counts as an empty one."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_measured, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+def measures(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per row of ``docs``: ``row``, a struct of the named columns, and the counts. A null text counts as an empty one."""
+    df = docs.select(F.struct(*columns).alias("row"), "text")
+    schema = StructType([df.schema["row"], *(StructField(c, LongType()) for c in COUNTS)])
+    return df.mapInArrow(_measured, schema)
 
 
 def rules() -> dict:
@@ -118,15 +120,8 @@ def posterior(votes, prior: float, acc: list[float]) -> float:
     return 1 / (1 + math.exp(-x))
 
 
-def score(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """doc_id, the base counts, base_failed, p_good and kept for every row of ``docs``.
-
-    ``base_failed``: fewer than 50 words, or over half of the words in repeated 3-word windows.
-    ``kept``: not base_failed, and the posterior probability of a good document is ``least`` or more.
-    Null and empty texts have zero counts and fail. Repeated rows are scored each for itself. An empty
-    table gives an empty result. Columns of ``docs`` other than doc_id and text play no part.
-    """
-    counts, votes = measures(docs), rules()
+def verdicts(docs: DataFrame, columns: list[str], least: float) -> DataFrame:
+    counts, votes = measures(docs, columns), rules()
     voted = counts.select("*", *(v.alias(f"vote_{k}") for k, v in votes.items()))
     names = [f"vote_{k}" for k in votes]
     found = voted.groupBy(*names).count().collect()  # at most 3 ^ rules rows
@@ -136,4 +131,20 @@ def score(docs: DataFrame, least: float = 0.5) -> DataFrame:
         logit = logit + F.col(n) * F.lit(math.log(a / (1 - a)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = voted.withColumn("base_failed", failed).withColumn("p_good", 1 / (1 + F.exp(-logit)))
-    return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.col("p_good") >= least)).alias("kept"), "p_good")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
+
+
+def score(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and p_good for every row of ``docs``.
+
+    ``base_failed``: fewer than 50 words, or over half of the words in repeated 3-word windows.
+    ``kept``: not base_failed, and the posterior probability of a good document is ``least`` or more.
+    Null and empty texts have zero counts and fail. Repeated rows are scored each for itself. An empty
+    table gives an empty result. Columns of ``docs`` other than doc_id and text play no part.
+    """
+    return verdicts(docs, ["doc_id"], least).select("row.doc_id", *BASE, "base_failed", "kept", "p_good")
+
+
+def keep(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``score`` keeps, all columns as they are; no join, so rows and names may repeat."""
+    return verdicts(docs, docs.columns, least).where("kept").select("row.*")
