@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def col(x: Column | str) -> Column:
@@ -50,7 +51,7 @@ def store_path(digest: Column | str, depth: int = 2) -> Column:
     return F.concat_ws("/", *parts, F.concat(col(digest), F.lit(".zst")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(path: pd.Series) -> pd.Series:
     return path.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 

@@ -52,7 +52,7 @@ def humanize(size: Column | str) -> Column:
     c = col(size).cast("double")
     out = F.lit(None).cast("string")
     for i, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        shown = F.regexp_replace(F.regexp_replace(F.format_number(c / 1024.0**i, "0.00"), r"0+$", ""), r"\.$", "")
+        shown = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", c / 1024.0**i), r"0+$", ""), r"\.$", "")
         out = F.when(c < 1024.0 ** (i + 1), F.concat(shown, F.lit(f" {unit}"))).otherwise(out if i < 4 else F.concat(shown, F.lit(" TB")))
     return out
 

@@ -43,8 +43,8 @@ def rolled(data: bytes) -> int:
     return int((tail << np.arange(len(tail) - 1, -1, -1, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
-def cuts(data: bytes, average: int, least: int, most: int, read_size: int = READ_SIZE) -> list[int]:
-    """Lengths of the chunks of ``data``.
+def cuts(data: bytes, average: int, least: int, most: int, read_size: int = READ_SIZE, lead: int = 0) -> list[int]:
+    """Lengths of the chunks of ``data``, which begins ``lead`` bytes into a read.
 
     Bytes are taken in steps that end where a read ends or a chunk is full. After each step a chunk of ``most`` bytes is cut,
     and one of ``least`` or more if the low bits of its rolling hash are zero: as many as the average has, one less from the
@@ -53,7 +53,7 @@ def cuts(data: bytes, average: int, least: int, most: int, read_size: int = READ
     bits = max(1, round(math.log2(average)))
     out, start, at = [], 0, 0
     while at < len(data):
-        at = min(start + most, (at // read_size + 1) * read_size, len(data))
+        at = min(start + most, ((lead + at) // read_size + 1) * read_size - lead, len(data))
         n = at - start
         mask = (1 << (max(1, bits - 1) if n >= average else bits)) - 1
         if n >= most or n >= least and rolled(data[max(start, at - 64) : at]) & mask == 0:
