@@ -32,7 +32,7 @@ def n_shards(docs: DataFrame, text_per_shard: int = 16 << 20) -> int:
 
 def pack(slices: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, slices[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, slices[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
         for s in slices:
             w.write_batch(s)
     return sink.getvalue().to_pybytes()

@@ -11,7 +11,7 @@ and an end; the context of the first token is a start that is in no vocabulary.
 
 Counts come from all training texts by a block exchange: a block of documents asks the shards for the
 totals of its words and bigrams, bringing its own. The answered blocks are written to the checkpoint folder
-with each token's three counts; from them come, in one small table each, N and V, and how many training
+with each token's and bigram's counts; from them come, in one small table each, N and V, and how many training
 tokens share a bucket, a bigram ratio and a word count (to a quarter of an octave), on which the weights
 are learned. Nothing is cut off or sampled, and no table of words goes to the driver or to all executors.
 """
@@ -20,15 +20,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import WordHashes, crc_mod, cut, mix
+from stratum.llm.common import crc_mod, cut, mix
 from stratum.llm.exchange import exchange, n_shards, pack, split, unpack
 
 U = np.uint64
-START, END = U(0x5374617274), U(0x456E64)  # words are hashed to 64 bits; these two stand beside them
+START = U(0x5374617274)  # stands for the hash of the context before the first word
 BUCKETS = 48
 #: Steps of a quarter of an octave for ratios (down to 2^-40) and word counts (up to 2^48); 0 stands for none.
 STEPS = 200
@@ -47,27 +48,81 @@ def bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(BUCKETS - 1, np.frexp(c.astype(float))[1])
 
 
-def tokens(found: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens in a row, of their contexts, and the documents' numbers of tokens."""
-    h, sizes = [], []
-    for texts in found:
-        for b in texts:
-            words = b.lower().split()
-            sizes.append(len(words) + 1)
-            h += [hashes.array(words), np.array([END])]
-    h = np.concatenate(h) if h else np.empty(0, U)
-    sizes = np.array(sizes, np.int64)
-    before = np.empty(len(h), U)
-    before[1:] = h[:-1]
-    before[np.cumsum(sizes) - sizes] = START
-    return h, before, sizes
+class Places(dict):
+    """word -> its place in a block's vocabulary"""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-def keys(h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All distinct keys of a block in order, and the places of each token's word and bigram among them."""
-    word, pair = mix(h), mix(before * U(0x9E3779B97F4A7C15) + h * U(0xC2B2AE3D27D4EB4F) + U(1))
-    found, back = np.unique(np.concatenate([word, pair]), return_inverse=True)
-    return found, back[: len(h)], back[len(h) :]
+
+class Block:
+    """A block's tokens as places in its vocabulary, and its distinct words and bigrams as hashes."""
+
+    def __init__(self, found: list[list[bytes]]):
+        places, parts, sizes = Places({b"": 0}), [], []  # no word is empty: that place is the end's
+        for texts in found:
+            for b in texts:
+                words = b.lower().split()
+                sizes.append(len(words) + 1)
+                parts.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+                parts.append(np.zeros(1, np.int32))
+        self.sizes = np.array(sizes, np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.token = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        self.hashes = mix(np.fromiter(map(xxhash.xxh3_64_intdigest, places), U, len(places)))
+        before = np.empty(len(self.token), np.int64)
+        before[1:] = self.token[:-1]
+        before[self.ends - self.sizes] = len(places)  # the start
+        self.pairs = before * len(places) + self.token
+
+    def pair_hashes(self, distinct: np.ndarray) -> np.ndarray:
+        before, word = np.divmod(distinct, len(self.hashes))
+        return mix(np.append(self.hashes, START)[before] * U(0x9E3779B97F4A7C15) + self.hashes[word] * U(0xC2B2AE3D27D4EB4F) + U(1))
+
+
+def narrow(keys: np.ndarray, shard: int, shards: int) -> bytes:
+    """A shard's sorted 64-bit keys as the 48 bits below those that tell the shard."""
+    x = (keys - U((shard << 64) // shards)) >> U(max(0, 17 - shards.bit_length()))
+    return x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def widen(b: bytes) -> np.ndarray:
+    x = np.zeros((len(b) // 6, 8), np.uint8)
+    x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return x.view(U).reshape(-1)
+
+
+def press(x: np.ndarray) -> bytes:
+    """Whole numbers of any size, small ones in few bytes: all first bytes, then all second ones."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    planes = x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T
+    return kind.char.encode() + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpress(b: bytes) -> np.ndarray:
+    kind = np.dtype(chr(b[0]))
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1).astype(np.int64)
+
+
+def contexts(c1: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each token's context's count: that of the token before; for a first token that of the start, as many as ends."""
+    ends = np.cumsum(sizes)
+    out = np.empty(len(c1), np.int64)
+    out[1:] = c1[:-1]
+    out[ends - sizes] = c1[ends - 1]
+    return out
+
+
+def frame(*parts: bytes) -> bytes:
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def parts(b: bytes) -> list[bytes]:
+    n = int(np.frombuffer(b, np.int64, 1)[0])
+    ends = np.cumsum(np.frombuffer(b, np.int64, n, 8)) + 8 + 8 * n
+    return [b[i:j] for i, j in zip([8 + 8 * n, *ends], ends, strict=False)]
 
 
 def fit(held: dict[tuple[int, int, int], int], n: int, v: int, rounds: int = 60) -> np.ndarray:
@@ -93,7 +148,7 @@ def fit(held: dict[tuple[int, int, int], int], n: int, v: int, rounds: int = 60)
     return out
 
 
-def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int = 10 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Rows whose id's crc32 modulo ``folds`` is ``held_out`` are scored but not learned from. ``base_score`` is the add-one
@@ -105,37 +160,38 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
     docs = docs.select(F.struct("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out")).alias("doc_id"), "text")
     kind = docs.schema["doc_id"].dataType["doc_id"].dataType.simpleString()
 
-    def counted(h, before, sizes, train):
-        found, word, pair = keys(h, before)
-        mine = np.repeat(train, sizes)
-        n = np.bincount(word[mine], minlength=len(found)) + np.bincount(pair[mine], minlength=len(found))
-        is_word = np.zeros(len(found), bool)
-        is_word[word] = True
-        return found, word, pair, n, is_word
-
     def ask(found, shards, slices):
         train = ~np.concatenate([s.column(0).field("held_out").to_numpy(zero_copy_only=False) for s in slices])
-        h, before, sizes = tokens(found, WordHashes())
-        k, _, _, n, is_word = counted(h, before, sizes, train)
-        edges = split(k, shards)
-        press = zstandard.ZstdCompressor(level=1).compress
-        for a, b in zip(edges, edges[1:], strict=False):
-            rest = press(n[a:b].astype(np.uint32).tobytes() + is_word[a:b].tobytes())
-            yield np.int64(b - a).tobytes() + k[a:b].tobytes() + rest
+        block = Block(found)
+        mine = np.repeat(train, block.sizes)
+        words = np.bincount(block.token[mine], minlength=len(block.hashes))
+        both = np.sort(2 * block.pairs + mine)
+        new = np.flatnonzero(np.diff(both >> 1, prepend=-1))
+        pairs = np.add.reduceat(both & 1, new) if len(new) else both
+        hashes = block.pair_hashes(both[new] >> 1)
+        word_hashes = block.hashes
+        del block, both, mine
+        i, j = np.argsort(word_hashes), np.argsort(hashes)
+        word_hashes, hashes, words, pairs = word_hashes[i], hashes[j], words[i], pairs[j]
+        at, to = split(word_hashes, shards), split(hashes, shards)
+        for k in range(shards):
+            w, p = slice(at[k], at[k + 1]), slice(to[k], to[k + 1])
+            yield frame(word_hashes[w].tobytes(), press(words[w]), narrow(hashes[p], k, shards), press(pairs[p]))
+
+    def totals(keys, counts):
+        found, back = np.unique(keys, return_inverse=True)
+        return np.bincount(back, weights=counts, minlength=len(found)).astype(np.int64), back
 
     def answer(blobs):
-        sizes = [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
-        k = np.concatenate([np.frombuffer(b, U, m, 8) for b, m in zip(blobs, sizes, strict=True)])
-        rest = [zstandard.ZstdDecompressor().decompress(b[8 + 8 * m :]) for b, m in zip(blobs, sizes, strict=True)]
-        n = np.concatenate([np.frombuffer(r, np.uint32, m) for r, m in zip(rest, sizes, strict=True)])
-        is_word = np.concatenate([np.frombuffer(r, bool, m, 4 * m) for r, m in zip(rest, sizes, strict=True)])
-        found, back = np.unique(k, return_inverse=True)
-        total = np.bincount(back, weights=n, minlength=len(found)).astype(np.int64)
-        word = np.zeros(len(found), bool)
-        word[back[is_word]] = True
-        press = zstandard.ZstdCompressor(level=1).compress
-        told = [press(x.tobytes()) for x in np.split(total[back], np.cumsum(sizes)[:-1])]
-        return told, np.array([total[word].sum(), (total[word] > 0).sum()], np.int64).tobytes()
+        asked = [parts(b) for b in blobs]
+        out = []
+        for k, c, read in ((0, 1, lambda b: np.frombuffer(b, U)), (2, 3, widen)):
+            keys = [read(x[k]) for x in asked]
+            total, back = totals(np.concatenate(keys), np.concatenate([unpress(x[c]) for x in asked]))
+            out.append(np.split(total[back], np.cumsum([len(x) for x in keys])[:-1]))
+            if k == 0:
+                told = np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()
+        return [frame(press(w), press(p)) for w, p in zip(*out, strict=True)], told
 
     def finish(table, answers):
         if table is None:
@@ -143,24 +199,23 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
             return pa.table({"docs": pa.array([None], pa.binary()), "data": pa.array([nv.tobytes()], pa.binary()), "held": pa.array([[]], HELD)})
         ids = table["doc_id"].combine_chunks()
         train = ~ids.field("held_out").to_numpy(zero_copy_only=False)
-        h, before, sizes = tokens([[x or b"" for x in table["text"].cast(pa.large_binary()).to_pylist()]], WordHashes())
-        k, word, pair, _, _ = counted(h, before, sizes, train)
-        del h, before
-        total = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64) for b in answers])
-        assert len(total) == len(k), "the block's keys are not those that were asked"
-        c1, c2 = total[word], total[pair]
-        ends = np.cumsum(sizes)
-        context = np.empty(len(c1), np.int64)
-        context[1:] = c1[:-1]
-        context[ends - sizes] = c1[ends - 1]  # a start for each end, in training
-        mine = np.repeat(train, sizes)
-        d2, d1, dc = c2[mine] - 1, c1[mine] - 1, context[mine] - 1
-        ratio = np.divide(d2, dc, out=np.zeros(len(d2)), where=dc > 0)
-        held, n = np.unique((bucket(dc) * STEPS + octaves(ratio)) * STEPS + octaves(d1), return_counts=True)
-        # each token's three counts as a place in the block's table of distinct ones
-        rows, at = np.unique(np.rec.fromarrays([c1, c2, context]), return_inverse=True)
-        packed = zstandard.ZstdCompressor(level=3).compress(sizes.astype(np.int64).tobytes() + at.astype(np.uint32).tobytes())
-        data = np.array([len(sizes), len(at), len(rows)], np.int64).tobytes() + rows.tobytes() + packed
+        block = Block([[x or b"" for x in table["text"].cast(pa.large_binary()).to_pylist()]])
+        mine = np.repeat(train, block.sizes)
+        distinct, at = np.unique(block.pairs, return_inverse=True)
+        answers = [parts(b) for b in answers]
+        words, pairs = np.zeros(len(block.hashes), np.int64), np.zeros(len(distinct), np.int64)
+        words[np.argsort(block.hashes)] = np.concatenate([unpress(a[0]) for a in answers])
+        pairs[np.argsort(block.pair_hashes(distinct))] = np.concatenate([unpress(a[1]) for a in answers])
+        c1, c2 = words[block.token], pairs[at]
+        # training tokens by bucket of context, bigram ratio and word count, each token itself left out
+        n, first = np.bincount(at[mine], minlength=len(pairs)), np.empty(len(pairs), np.int64)
+        first[at] = np.arange(len(at))  # any token of each bigram
+        own = first[n > 0]
+        dc = contexts(c1, block.sizes)[own] - 1
+        ratio = np.divide(c2[own] - 1, dc, out=np.zeros(len(dc)), where=dc > 0)
+        held, back = np.unique((bucket(dc) * STEPS + octaves(ratio)) * STEPS + octaves(c1[own] - 1), return_inverse=True)
+        n = np.bincount(back, weights=n[n > 0], minlength=len(held)).astype(np.int64)
+        data = frame(press(block.sizes), press(c1), press(c2))
         return pa.table({"docs": pa.array([pack([pa.RecordBatch.from_struct_array(ids)])], pa.binary()), "data": pa.array([data], pa.binary()), "held": pa.array([[{"k": int(a), "n": int(b)} for a, b in zip(held, n, strict=True)]], HELD)})
 
     HELD = pa.list_(pa.struct([("k", pa.int64()), ("n", pa.int64())]))
@@ -177,19 +232,17 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
         for batch in batches:
             for docs_, data in zip(batch.column(0), batch.column(1), strict=True):
                 data = data.as_py()
-                n_docs, n_tokens, n_rows = np.frombuffer(data, np.int64, 3)
-                rows = np.frombuffer(data, [("c1", np.int64), ("c2", np.int64), ("c", np.int64)], n_rows, 24)
-                rest = zstandard.ZstdDecompressor().decompress(data[24 + 24 * n_rows :])
-                sizes, at = np.frombuffer(rest, np.int64, n_docs), np.frombuffer(rest, np.uint32, n_tokens, 8 * n_docs)
-                a = weights[bucket(rows["c"])]
-                p = a[:, 0] * np.divide(rows["c2"], rows["c"], out=np.zeros(n_rows), where=rows["c"] > 0) + a[:, 1] * rows["c1"] / max(1, n) + a[:, 2] / (v + 1)
+                sizes, c1, c2 = map(unpress, parts(data))
+                c = contexts(c1, sizes)
+                a = weights[bucket(c)]
+                p = a[:, 0] * np.divide(c2, c, out=np.zeros(len(c)), where=c > 0) + a[:, 1] * c1 / max(1, n) + a[:, 2] / (v + 1)
                 if not n:
-                    p = np.ones(n_rows)
+                    p = np.ones(len(c))
                 starts = np.cumsum(sizes) - sizes
-                add = lambda x: np.add.reduceat(x[at], starts)  # noqa: E731, B023
+                add = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
                 ids = unpack(docs_.as_py())
                 yield pa.RecordBatch.from_arrays(
-                    [ids["doc_id"].combine_chunks(), ids["held_out"].combine_chunks(), pa.array(sizes), pa.array(add((rows["c1"] > 0).astype(np.int64))), pa.array(np.full(n_docs, n, np.int64)), pa.array(add(np.log10((rows["c1"] + 1) / (n + v + 1)))), pa.array(add(np.log10(p)))],
+                    [ids["doc_id"].combine_chunks(), ids["held_out"].combine_chunks(), pa.array(sizes), pa.array(add((c1 > 0).astype(np.int64))), pa.array(np.full(len(sizes), n, np.int64)), pa.array(add(np.log10((c1 + 1) / (n + v + 1)))), pa.array(add(np.log10(p)))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
