@@ -2,8 +2,8 @@
 
 A rating is a grade 0 < 1 < ... < K. One score, the sum of the weights of the text's hashed features,
 is compared with K ordered thresholds: P(grade > k) = sigmoid(score - threshold_k), so all grades share
-the weights. Features are the distinct words (A-Z lowered), their shapes (letters, digits and marks, runs
-collapsed) and two ratios of the text in steps. The expected grade is the sum of the tail probabilities.
+the weights. Features are the distinct words (A-Z lowered) with and without marks at their ends, their beginnings, their
+shapes (letters, digits and marks, runs collapsed) and two ratios of the text in steps. The expected grade is the sum of the tail probabilities.
 
 Ratings of quality and toxicity make three grades: 0 toxic, 1 poor, 2 good. The model is fitted on a bounded
 sample of rated documents (about ``sample``, by hash of the id); scoring reads every text whole, without a shuffle.
@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from stratum.llm.common import chunks
 
 BITS = 18
+MARKS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
+#: Lengths in bytes of the beginnings of words that are features.
+HEADS = (4, 5, 6, 7, 8)
 RUNS = re.compile(rb"(.)\1+", re.S)
 CLASSES = bytes(97 if chr(i).isalpha() or i >= 128 else 48 if chr(i).isdigit() else i for i in range(256))
 
@@ -32,14 +35,17 @@ def place(x: bytes) -> int:
 
 
 class Features(dict):
-    """word -> places of the word and its shape; emptied beyond ``most`` words."""
+    """word -> places of its features; emptied beyond ``most`` words."""
 
-    most = 400_000
+    most = 200_000
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
-        f = self[word] = (place(b"w" + word), place(b"s" + RUNS.sub(rb"\1", word.translate(CLASSES))))
+        core = word.strip(MARKS)
+        shape = RUNS.sub(rb"\1", word.translate(CLASSES))
+        heads = (b"p" + core[:k] for k in HEADS if len(core) > k)
+        f = self[word] = tuple(map(place, (b"w" + core, b"r" + word, b"s" + shape, *heads)))
         return f
 
     def of(self, text: bytes) -> np.ndarray:
@@ -58,30 +64,33 @@ def tails(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds[None], -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], grades: int, rounds: int = 150, rate: float = 0.3, l2: float = 2e-3, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by Adagrad on the sample's log-likelihood.
+def fit(rows: list[tuple[np.ndarray, int]], grades: int, rounds: int = 300, rate: float = 0.05, l1: float = 1e-3, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds by Adagrad on the sample's mean log-likelihood less l1 times the weights' sizes.
 
-    Features in fewer than ``least`` documents of the sample stay at 0. The thresholds are a first one and positive steps.
+    The penalty leaves most weights at 0, so that the many words that say nothing add no noise to a long text. Features in fewer
+    than ``least`` documents of the sample stay at 0. The thresholds are a first one and positive steps.
     """
     weights, first, steps = np.zeros(1 << BITS), -1.0, np.zeros(grades - 2)
+    thresholds = lambda: first + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
     if not rows:
-        return weights, first + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
+        return weights, thresholds()
     ids = np.concatenate([f for f, _ in rows])
     of = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     ok = np.bincount(ids, minlength=1 << BITS)[ids] >= least
-    ids, of = ids[ok], of[ok]
-    grade = np.array([g for _, g in rows])
-    gw, gf, gs = np.full(1 << BITS, 1e-6), 1e-6, np.full(grades - 2, 1e-6)
-    at = np.arange(len(rows))
+    places, ids = np.unique(ids[ok], return_inverse=True)
+    of, w, gw = of[ok], np.zeros(len(places)), np.full(len(places), 1e-6)
+    grade, at = np.array([g for _, g in rows]), np.arange(len(rows))
+    gf, gs = 1e-6, np.full(grades - 2, 1e-6)
     for _ in range(rounds):
-        thresholds = first + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
-        t = np.column_stack([np.ones(len(rows)), tails(np.bincount(of, weights[ids], len(rows)), thresholds), np.zeros(len(rows))])
+        t = np.column_stack([np.ones(len(rows)), tails(np.bincount(of, w[ids], len(rows)), thresholds()), np.zeros(len(rows))])
         p = np.maximum(1e-12, t[at, grade] - t[at, grade + 1])
         slope = t * (1 - t)
         up, down = slope[at, grade] / p, slope[at, grade + 1] / p  # by the score, through the threshold below and above
-        g = np.bincount(ids, (up - down)[of], 1 << BITS) / len(rows) - l2 * weights / len(rows) ** 0.5
+        g = np.bincount(ids, (up - down)[of], len(places)) / len(rows)
         gw += g * g
-        weights += rate * g / np.sqrt(gw)
+        step = rate / np.sqrt(gw)
+        w += step * g
+        w = np.sign(w) * np.maximum(0, np.abs(w) - step * l1)
         by = np.array([-(up[grade == k + 1].sum()) + down[grade == k].sum() for k in range(grades - 1)]) / len(rows)
         gf += by.sum() ** 2
         first += rate * by.sum() / gf**0.5
@@ -89,7 +98,8 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int, rounds: int = 150, rate
             g = by[k + 1 :].sum() * np.exp(steps[k])
             gs[k] += g * g
             steps[k] += rate * g / gs[k] ** 0.5
-    return weights, first + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
+    weights[places] = w
+    return weights, thresholds()
 
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 8000) -> tuple[np.ndarray, np.ndarray]:
