@@ -3,12 +3,13 @@
 A document's set holds its distinct ``words``-word shingles (A-Z lowered); two documents link when
 100 |A and B| >= least |A or B|. Equal sets are one class, joined once. Then:
 
-1. Prefixes. In the order of their hashes, two linked sets share at least l of their first
-   |A| - ceil(least |A|) + l shingles (l a twentieth of the size here). All classes' prefix shingles are
-   counted exactly by a block exchange; a class with too few that others have too has no link.
-2. Buckets. Of a prefix's shared shingles, all but the most common l - 1 must meet one of the other's; these,
-   rarest first, are the class's buckets. Buckets that share classes make a cluster (connected components over
-   bucket-to-smallest-member edges), so linked classes are in one cluster and pairs are never written out.
+1. Signatures. Linked sets are of sizes in the same or in neighbouring intervals, and differ in at most H shingles,
+   H following from the interval. A set's hashes are cut into H + 3 ranges: two linked sets agree in three ranges at
+   least. The hash of a range's shingles is a signature; a set gives those of its own interval and of the next.
+   Unrelated documents agree in no range, whatever phrases or passages they share.
+2. Clusters. Sets with a common signature are tied to the smallest id among them: within a block of documents at once,
+   across blocks in a shard of the hash space, which gets each signature once a block. Components of these ties are
+   clusters; linked sets are in one cluster, and pairs are never written out.
 3. T-occurrence search. A cluster's sets come together - many small clusters at once, a large one as pairs of blocks
    of bounded size - and each set queries an inverted index by DivideSkip: of its shingles' lists the longest are put
    aside, the short ones heap-merged, and what occurs often enough there is probed for in the long ones by binary search.
@@ -19,21 +20,23 @@ A document's set holds its distinct ``words``-word shingles (A-Z lowered); two d
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import lru_cache
 from heapq import merge
 from itertools import groupby
 from math import log2
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.common import WordHashes, chunks, cut, mix, shingle_hashes
 from stratum.llm.components import components
-from stratum.llm.exchange import exchange, n_shards, split
+from stratum.llm.exchange import blocks, n_shards, split
 
 U = np.uint64
+M64 = (1 << 64) - 1
 
 
 def up(n, least: int):
@@ -41,18 +44,37 @@ def up(n, least: int):
     return -(-n * least // 100)
 
 
-def extra(n):
-    """The l of a set of n shingles."""
-    return -(-n // 20)
+def intervals(upto: int, least: int) -> list[int]:
+    """Last sizes of the intervals 0, 1, ... up to one that has ``upto``: a set's partners are in its own or a neighbour."""
+    out, first = [0], 1
+    while out[-1] < upto:
+        out.append(first * 100 // least)
+        first = out[-1] + 1
+    return out
 
 
-def prefix(n, least: int):
-    return min(n, n - up(n, least) + extra(n))
+def ranges(last: int, least: int) -> int:
+    """Into how many ranges sets of an interval are cut, ``last`` its last size: two more than needed for one to agree."""
+    return 2 * last * (100 - least) // (100 + least) + 3
 
 
-def needed(n, least: int):
-    """How many prefix shingles a set of n shares with any partner, at least."""
-    return min(extra(n), extra(up(n, least)))
+@lru_cache(4096)
+def bounds(m: int) -> np.ndarray:
+    return np.array([(i << 64) // m for i in range(1, m)], U)
+
+
+def signatures_of(s: np.ndarray, ends: list[int], least: int) -> np.ndarray:
+    """The set's signatures. A range without shingles gives none, as two others agree as well, unless there are more such ranges."""
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(s ^ U(0x9D)), dtype=U)])
+    out = []
+    k = bisect_left(ends, len(s))
+    for g in (k, k + 1):
+        m = ranges(ends[g], least)
+        at = np.concatenate([[0], np.searchsorted(s, bounds(m)), [len(s)]])
+        x = mix(mix((sums[at[1:]] - sums[at[:-1]]) ^ U(g * 0x9E3779B97F4A7C15 & M64)) + np.arange(m, dtype=U))
+        full = at[1:] > at[:-1]
+        out.append(x[full] if m - int(full.sum()) <= 2 else x)
+    return np.concatenate(out)
 
 
 def shingle_set(text: bytes, hashes: WordHashes, words: int) -> np.ndarray:
@@ -136,70 +158,90 @@ def search(sets: list[np.ndarray], order: list[int], indexed: int | None, least:
     return links
 
 
-def signatures(docs: DataFrame, words: int, least: int) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (the set's hash) and prefix (the prefix's hashes) for every row."""
+def signed_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n (set size), h1 and h2 (the set's hash) for every row."""
 
     def sign(batches):
         hashes = WordHashes()
         for batch, texts in chunks(batches):
             sets = [shingle_set(b, hashes, words) for b in texts]
             both = [set_hash(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64()), pa.array([s[: prefix(len(s), least)].tobytes() for s in sets], pa.binary())],
-                ["doc_id", "n", "h1", "h2", "prefix"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64())], ["doc_id", "n", "h1", "h2"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, h1 long, h2 long, prefix binary")
-
-
-def buckets(classes: DataFrame, least: int, block_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, n, h1, token): the buckets of the classes (id: struct of doc_id, n, h1; text: prefix) that may have a link."""
-    id_type = classes.schema["doc_id"].dataType
-    kind = id_type["doc_id"].dataType.simpleString()
-
-    def tokens(found):
-        x = [np.frombuffer(b, U) for b in found]
-        return np.concatenate(x) if x else np.empty(0, U), np.array([len(t) for t in x], np.int64)
-
-    def ask(found, shards):
-        k, n = np.unique(np.concatenate([tokens(f)[0] for f in found]), return_counts=True)
-        edges = split(k, shards)
-        press = zstandard.ZstdCompressor(level=1).compress
-        for a, b in zip(edges, edges[1:], strict=False):
-            yield np.int64(b - a).tobytes() + k[a:b].tobytes() + press(n[a:b].astype(np.uint32).tobytes())
-
-    def answer(blobs):
-        sizes = [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
-        k = np.concatenate([np.frombuffer(b, U, m, 8) for b, m in zip(blobs, sizes, strict=True)])
-        n = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(b[8 + 8 * m :]), np.uint32) for b, m in zip(blobs, sizes, strict=True)])
-        found, back = np.unique(k, return_inverse=True)
-        total = np.bincount(back, weights=n, minlength=len(found)).astype(np.int64)[back]
-        press = zstandard.ZstdCompressor(level=1).compress
-        return [press(x.tobytes()) for x in np.split(total, np.cumsum(sizes)[:-1])], None
-
-    def finish(table, answers):
-        ids = table["doc_id"].combine_chunks()
-        all_tokens, sizes = tokens([x for x in table["text"].cast(pa.large_binary()).to_pylist()])
-        k, back = np.unique(all_tokens, return_inverse=True)
-        df = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64) for b in answers])[back]
-        at, out, start = [], [], 0
-        ns = ids.field("n").to_pylist()
-        for i, size in enumerate(sizes):
-            d, t = df[start : start + size], all_tokens[start : start + size]
-            start += size
-            ok = d > 1
-            c, need = int(ok.sum()), needed(ns[i], least)
-            if c >= need and c:
-                d, t = d[ok], t[ok]
-                t = t[np.lexsort((t, d))[: c - need + 1]]
-                at += [i] * len(t)
-                out.append(t)
-        ids = ids.take(pa.array(at, pa.int64()))
-        out = np.concatenate(out) if out else np.empty(0, U)
-        return pa.table({"doc_id": ids.field("doc_id"), "n": ids.field("n"), "h1": ids.field("h1"), "token": pa.array(out.astype(np.int64))})
-
-    return exchange(classes, n_shards(classes, 4 << 20), block_bytes, ask, answer, finish, f"doc_id {kind}, n long, h1 long, token long")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, h1 long, h2 long")
+
+
+def ties(docs: DataFrame, words: int, least: int, block_bytes: int = 8 << 20) -> DataFrame:
+    """(a, b): ties that connect all documents with a signature in common. Ids are whole numbers, not null."""
+    shards = n_shards(docs, 64 << 20)
+
+    def forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same connections as ``pairs`` by one tie for each id, to the smallest that it reaches."""
+        nodes, at = np.unique(pairs, return_inverse=True)
+        at, root = at.reshape(-1, 2), np.arange(len(nodes))
+        while len(at):
+            least = root[at].min(1)
+            before = root.copy()
+            for k in range(2):
+                np.minimum.at(root, root[at[:, k]], least)
+                np.minimum.at(root, at[:, k], least)
+            root = root[root]
+            if (root == before).all():
+                break
+        tied = root != np.arange(len(nodes))
+        return nodes[tied], nodes[root[tied]]
+
+    def tied(tokens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct tokens in order with their smallest id; ties of the other ids to it."""
+        order = np.lexsort((ids, tokens))
+        tokens, ids = tokens[order], ids[order]
+        new = np.ones(len(tokens), bool)
+        new[1:] = tokens[1:] != tokens[:-1]
+        hub = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(ids) else ids
+        other = ids != hub
+        return tokens[new], ids[new], np.stack([ids[other], hub[other]], 1)
+
+    def send(batches):
+        task, hashes, ends = TaskContext.get().partitionId(), WordHashes(), intervals(1 << 20, least)
+        for slices, found in blocks(batches, block_bytes):
+            seen, tokens, ids, copies = {}, [np.empty(0, U)], [np.empty(0, np.int64)], []
+            for part, texts in zip(slices, found, strict=True):
+                for i, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                    s = shingle_set(text, hashes, words)
+                    if not len(s):
+                        continue
+                    first = seen.setdefault((len(s), *set_hash(s)), i)  # equal sets of a block stand for each other
+                    if first != i:
+                        copies.append((max(i, first), min(i, first)))
+                        continue
+                    if len(s) > ends[-2]:
+                        ends[:] = intervals(2 * len(s), least)
+                    t = signatures_of(s, ends, least)
+                    tokens.append(t)
+                    ids.append(np.full(len(t), i, np.int64))
+            t, i, pairs = tied(np.concatenate(tokens), np.concatenate(ids))
+            a, b = forest(np.concatenate([pairs, np.array(copies, np.int64).reshape(-1, 2)]))
+            edges = split(t, shards)
+            dest = [*range(shards), shards + task]
+            blobs = [np.int64(e - s).tobytes() + t[s:e].tobytes() + i[s:e].tobytes() for s, e in zip(edges, edges[1:], strict=False)]
+            blobs.append(np.int64(len(a)).tobytes() + a.tobytes() + b.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array(blobs, pa.binary())], ["dest", "blob"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        raw = [x.as_py() for x in table["blob"]]
+        n = [int(np.frombuffer(b, np.int64, 1)[0]) for b in raw]
+        one = np.concatenate([np.frombuffer(b, U, m, 8) for b, m in zip(raw, n, strict=True)])
+        two = np.concatenate([np.frombuffer(b, np.int64, m, 8 + 8 * m) for b, m in zip(raw, n, strict=True)])
+        if table["dest"][0].as_py() < shards:
+            a, b = forest(tied(one, two)[2])
+        else:
+            a, b = one.view(np.int64), two
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
+    sent = rows.mapInArrow(send, "dest long, blob binary")
+    return sent.groupBy("dest").applyInArrow(meet, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, words: int = 3, least: int = 90, block_docs: int = 2000, block_shingles: int = 1_500_000, broadcast_rows: int = 500_000) -> DataFrame:
@@ -211,22 +253,20 @@ def join(docs: DataFrame, words: int = 3, least: int = 90, block_docs: int = 200
     No partner or candidate is dropped at any size: clusters beyond ``block_docs`` or ``block_shingles`` are
     searched as all pairs of their blocks.
     """
-    signed = cut(signatures(docs, words, least))
+    signed = cut(signed_sets(docs, words))
     key = ["h1", "h2", "n"]
-    classes = cut(signed.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("prefix").alias("prefix")))
-    named = classes.where("rep IS NOT NULL").select(F.struct(F.col("rep").alias("doc_id"), "n", "h1").alias("doc_id"), F.col("prefix").alias("text"))
-
-    found = cut(buckets(named, least))
-    hubs = found.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last")
-    stars = found.join(hubs.select("token", "hub"), "token").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(stars)
-    members = cut(found.groupBy("doc_id", "h1").agg(F.first("n").alias("n")).join(clusters, F.col("doc_id") == F.col("node")).select("doc_id", "h1", "n", F.col("component").alias("cluster")))
+    classes = cut(signed.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")))
+    reps = signed.select("doc_id", *key).where("doc_id IS NOT NULL").join(classes.select(*key, "rep"), key).select("doc_id", "rep").distinct()
+    found = ties(docs, words, least)
+    stars = found.join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("y")), "b").where("x <> y")
+    clusters = components(stars.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    members = cut(classes.join(clusters, F.col("rep") == F.col("node")).select(F.col("rep").alias("doc_id"), "h1", "n", F.col("component").alias("cluster")))
 
     sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
+    pieces = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
     total = members.agg(F.count("*"), F.sum("n")).first()
     bins = max(1, (total[1] or 0) * 2 // block_shingles, total[0] * 2 // block_docs)
-    placed = members.join(sizes.withColumn("blocks", blocks).select("cluster", "blocks"), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id", "h1"), F.col("blocks")).cast("int"))
+    placed = members.join(sizes.withColumn("blocks", pieces).select("cluster", "blocks"), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id", "h1"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("cluster").cast("string").alias("g"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     alone = F.array(F.struct(F.concat(F.lit("bin"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("string")).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j")))
     placed = placed.select(F.col("doc_id").alias("rep"), F.col("h1").alias("rep_h1"), "own", F.when(F.col("blocks") > 1, pairs).otherwise(alone).alias("groups"))
