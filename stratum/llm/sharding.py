@@ -30,21 +30,27 @@ def propagate(held: DataFrame, shards: int, quota: int, rounds: int) -> DataFram
     """(grp, shard, n) after the moves; ``held`` is the same before them.
 
     A round deals the rows by group once. Members move to the shard that has most of their group among those with
-    room, in proportion to the room if more ask than there is; a small group's members in a shard move all or none.
+    room (a group too large for one shard has as many such homes as it needs), in proportion to the room if more ask than there is; a small group's members in a shard move all or none.
     """
     spark, mine = held.sparkSession, Window.partitionBy("grp")
     for k in range(rounds):
         loads = by_shard(held, "shard", shards)
-        free = F.broadcast(spark.createDataFrame([(s, max(0, quota - n)) for s, n in enumerate(loads)], "shard int, free long"))  # a row a shard
+        most = quota * 6 // 5 if 2 * k < rounds else quota  # some slack at first, or full shards could not trade members
+        free = F.broadcast(spark.createDataFrame([(s, max(0, most - n)) for s, n in enumerate(loads)], "shard int, free long"))  # a row a shard
         own = held.repartition("grp").groupBy("grp", "shard").agg(F.sum("n").alias("n")).join(free, "shard")
         rank = F.struct("n", F.xxhash64("grp", "shard").alias("tie"), "shard")
-        wants = own.withColumn("rank", rank).withColumn("best", F.max(F.when(F.col("free") > 0, F.col("rank"))).over(mine))
-        wants = cut(wants.select("grp", "shard", "n", F.when(F.col("rank") < F.col("best"), F.col("best.shard")).alias("to")))
+        open_ = F.when(F.col("free") > 0, F.col("rank"))
+        wants = own.withColumn("rank", rank).withColumn("homes", F.sort_array(F.collect_list(open_).over(mine), asc=False))  # a row a shard at most
+        needed = F.ceil(F.sum(F.when(F.col("free") > 0, F.col("n"))).over(mine) / max(1, quota)).cast("int")
+        wants = wants.withColumn("homes", F.slice("homes", 1, F.greatest(F.lit(1), F.coalesce(needed, F.lit(1)))))
+        goes = (F.size("homes") > 0) & (F.col("rank") < F.element_at("homes", -1))
+        home = F.get("homes", F.pmod(F.xxhash64("grp", "shard", F.lit(k)), F.size("homes")).cast("int"))
+        wants = cut(wants.select("grp", "shard", "n", F.when(goes, home["shard"]).alias("to")))
         asked = by_shard(wants, "to", shards)
         held = wants.select("grp", "shard", "n")
         if not any(asked):
             break
-        parts = [(s, min(1.0, max(0, quota - n) / a)) for s, (n, a) in enumerate(zip(loads, asked, strict=True)) if a]
+        parts = [(s, min(1.0, max(0, most - n) / a)) for s, (n, a) in enumerate(zip(loads, asked, strict=True)) if a]
         luck = F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(1 << 20)) / (1 << 20)
         moved = F.when(F.col("n") > max(1, quota // 50), F.floor(F.col("n") * F.col("part"))).when(luck < F.col("part"), F.col("n"))
         moves = wants.join(F.broadcast(spark.createDataFrame(parts, "to int, part double")), "to", "left").withColumn("moved", F.coalesce(moved, F.lit(0)).cast("long"))
