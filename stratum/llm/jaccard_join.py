@@ -244,7 +244,7 @@ def ties(docs: DataFrame, words: int, least: int, block_bytes: int = 8 << 20) ->
     return sent.groupBy("dest").applyInArrow(meet, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, words: int = 3, least: int = 90, block_docs: int = 2000, block_shingles: int = 1_500_000, broadcast_rows: int = 500_000) -> DataFrame:
+def join(docs: DataFrame, words: int = 5, least: int = 80, block_docs: int = 600, block_shingles: int = 1_000_000, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included) and class_size for every row.
 
     Null and empty texts have no shingles and link with nothing, not even each other. Rows of equal sets are linked;

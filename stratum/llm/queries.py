@@ -24,7 +24,7 @@ def op3_substring_dedup(spark, sf_dir):
 
 
 def op4_jaccard_join(spark, sf_dir):
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(table(spark, sf_dir, "documents"), words=3, least=90)
 
 
 def op5_quality_rules(spark, sf_dir):

@@ -56,7 +56,7 @@ class Groups:
         self.up[max(a, b)] = min(a, b)
 
 
-def shingle_sets(rows, n=3):
+def shingle_sets(rows, n):
     out = {}
     for i, t in rows:
         w = lower(t)
@@ -64,7 +64,7 @@ def shingle_sets(rows, n=3):
     return out
 
 
-def components(rows, least=90):
+def components(rows, n, least):
     """id -> smallest id reachable, by comparing all with all."""
     sets, groups = [(i, s) for i, ss in shingle_sets(rows).items() if i is not None for s in ss], Groups()
     for k, (i, a) in enumerate(sets):

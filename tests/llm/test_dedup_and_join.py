@@ -80,16 +80,16 @@ def test_joins_what_comparing_all_says(spark):
                 w[r.randrange(len(w))] = f"new{r.randrange(9)}"
             rows.append((1000 + len(rows) * 7 % 997, " ".join(w[: len(w) - r.choice([0, 0, 1, 3])])))
     df = frame(spark, [(i, t, None, None) for i, t in rows], parts=4)
-    want, sets = helpers.components(rows), helpers.shingle_sets(rows)
-    for blocks in ({}, {"block_docs": 3}, {"block_shingles": 100, "broadcast_rows": 0}):
-        got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df, **blocks).collect()}
+    for n, least, blocks in ((3, 90, {}), (3, 90, {"block_docs": 3}), (5, 80, {"block_shingles": 100, "broadcast_rows": 0})):
+        want, sets = helpers.components(rows, n, least), helpers.shingle_sets(rows, n)
+        got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df, n, least, **blocks).collect()}
         assert got == {(i, len(s), want[i]) for i, ss in sets.items() for s in ss}
-    assert len(set(want.values())) < len(want)
+        assert len(set(want.values())) < len(want)
 
 
 def test_join_of_awkward_rows(spark):
     rows = awkward()
-    out = jaccard_join.join(frame(spark, rows)).collect()
+    out = jaccard_join.join(frame(spark, rows), 3, 90).collect()
     assert len(out) == len(rows)
     got = {r["doc_id"]: r["component_id"] for r in out}
     assert (got[1], got[2], got[3], got[4], got[5], got[8], got[9]) == (1, 2, 3, 4, 4, 7, 7) and got[None] is None
@@ -115,7 +115,7 @@ def test_search_finds_all_that_is_linked(found, least, indexed):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.integers(1, 400), st.integers(0, 45), st.integers(0, 45), st.randoms(), st.sampled_from([70, 90]))
+@given(st.integers(1, 400), st.integers(0, 45), st.integers(0, 45), st.randoms(), st.sampled_from([70, 80, 90]))
 def test_linked_sets_have_a_common_signature(common, a, b, r, least):
     x, y = (list(range(1000, 1000 + common)) + [n * 10_000 + k for k in range(m)] for n, m in ((1, a), (2, b)))
     if 100 * common < least * (common + a + b):

@@ -45,12 +45,12 @@ def check_stages(spark, found, items):
     assert Counter(r["doc_id"] for r in scored if r["kept"]) == Counter(r[0] for r in plain(after))
 
     before, after = (plain(x) for x in steps["jaccard_join"])
-    sets, groups = [shingle_sets([(0, t)])[0][0] for _, t, *_ in before], Groups()
+    sets, groups = [shingle_sets([(0, t)], 5)[0][0] for _, t, *_ in before], Groups()
     first = {}
     for k, (i, *_) in enumerate(before):
         groups.find(k)
         for j in range(k):
-            if sets[k] and sets[j] and 100 * len(sets[k] & sets[j]) >= 90 * len(sets[k] | sets[j]):
+            if sets[k] and sets[j] and 100 * len(sets[k] & sets[j]) >= 80 * len(sets[k] | sets[j]):
                 groups.join(k, j)
         if i is not None:
             first.setdefault(i, k)
