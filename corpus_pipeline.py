@@ -38,12 +38,12 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links between 3-word shingle sets, the one with the smallest id stays; of rows alike in id, one.
+    """Of documents connected by links (5-word shingles, at least 80 % in common) the one with the smallest id stays; of rows alike in id, one.
 
     Documents without words are linked with nothing and stay.
     """
     docs, row = identified(docs)
-    found = jaccard_join.join(docs.select(F.col(row).alias("doc_id"), "text"))
+    found = jaccard_join.join(docs.select(F.col(row).alias("doc_id"), "text"), words=5, least=80)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
     out = docs.join(small(gone), F.col(row) == F.col("gone"), "left_anti")
     return out if row == "doc_id" else out.drop(row)
