@@ -66,7 +66,7 @@ def shingle_sets(rows, n):
 
 def components(rows, n, least):
     """id -> smallest id reachable, by comparing all with all."""
-    sets, groups = [(i, s) for i, ss in shingle_sets(rows).items() if i is not None for s in ss], Groups()
+    sets, groups = [(i, s) for i, ss in shingle_sets(rows, n).items() if i is not None for s in ss], Groups()
     for k, (i, a) in enumerate(sets):
         groups.find(i)
         for j, b in sets[:k]:
