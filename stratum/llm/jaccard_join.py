@@ -6,7 +6,10 @@ A document's set holds its distinct ``words``-word shingles (A-Z lowered); two d
 1. Signatures. Linked sets are of sizes in the same or in neighbouring intervals, and differ in at most H shingles,
    H following from the interval. A set's hashes are cut into H + 3 ranges: two linked sets agree in three ranges at
    least. The hash of a range's shingles is a signature; a set gives those of its own interval and of the next.
-   Unrelated documents agree in no range, whatever phrases or passages they share.
+   Unrelated documents agree in no range, whatever phrases or passages they share. Below ``RANGES_FROM`` percent
+   ranges would hold too few shingles for that; there the signatures are a prefix, the |A| - ceil(least |A|) + 1 shingles
+   of A that come first when those that many documents share, by a sketch of the whole corpus, come last: two linked sets
+   have one of them in common, documents that merely share a passage have not.
 2. Clusters. Sets with a common signature are tied to the smallest id among them: within a block of documents at once,
    across blocks in a shard of the hash space, which gets each signature once a block. Components of these ties are
    clusters; linked sets are in one cluster, and pairs are never written out.
@@ -37,6 +40,10 @@ from stratum.llm.exchange import blocks, n_shards, split
 
 U = np.uint64
 M64 = (1 << 64) - 1
+#: From this percentage on, signatures are ranges.
+RANGES_FROM = 90
+#: The sketch of common shingles has 2^CELL_BITS cells of a byte.
+CELL_BITS = 24
 
 
 def up(n, least: int):
@@ -58,6 +65,42 @@ def ranges(last: int, least: int) -> int:
     return 2 * last * (100 - least) // (100 + least) + 3
 
 
+def common_shingles(docs: DataFrame, words: int, bits: int = CELL_BITS) -> np.ndarray:
+    """For each of 2^bits cells, how often its shingles occur (255 or more as 255), as far as a partition has them twice or more.
+
+    It sets the order of shingles only; any order that is the same everywhere gives the same links.
+    """
+
+    def count(batches):
+        hashes, found = WordHashes(), [np.empty(0, U)]
+        for _, texts in chunks(batches):
+            found += [shingle_set(b, hashes, words) >> U(64 - bits) for b in texts]
+        cells, n = np.unique(np.concatenate(found).astype(np.uint32), return_counts=True)
+        cells, n = cells[n > 1], np.minimum(n[n > 1], 255).astype(np.uint8)
+        for k in np.unique(cells >> np.uint32(bits - 6)).tolist():
+            own = cells >> np.uint32(bits - 6) == k
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([cells[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary())], ["slice", "cells", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << (bits - 6), np.uint16)
+        for c, n in zip(table["cells"], table["counts"], strict=True):
+            at = np.frombuffer(c.as_py(), np.uint32) & np.uint32((1 << (bits - 6)) - 1)
+            total[at] = np.minimum(255, total[at] + np.frombuffer(n.as_py(), np.uint8))
+        return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.astype(np.uint8).tobytes()], pa.binary())})
+
+    rows = docs.select("doc_id", "text").mapInArrow(count, "slice int, cells binary, counts binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for r in rows.groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():  # 2^bits bytes in all
+        out[r["slice"] << (bits - 6) : (r["slice"] + 1) << (bits - 6)] = np.frombuffer(r["counts"], np.uint8)
+    return out
+
+
+def prefix_of(s: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """The set's first shingles, rare ones before common ones."""
+    n = len(s) - up(len(s), least) + 1
+    return s[np.lexsort((s, common[(s >> U(64 - CELL_BITS)).astype(np.int64)]))[:n]]
+
+
 @lru_cache(4096)
 def bounds(m: int) -> np.ndarray:
     return np.array([(i << 64) // m for i in range(1, m)], U)
@@ -175,6 +218,7 @@ def signed_sets(docs: DataFrame, words: int) -> DataFrame:
 def ties(docs: DataFrame, words: int, least: int, block_bytes: int = 8 << 20) -> DataFrame:
     """(a, b): ties that connect all documents with a signature in common. Ids are whole numbers, not null."""
     shards = n_shards(docs, 64 << 20)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words) if least < RANGES_FROM else None)
 
     def forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same connections as ``pairs`` by one tie for each id, to the smallest that it reaches."""
@@ -217,7 +261,7 @@ def ties(docs: DataFrame, words: int, least: int, block_bytes: int = 8 << 20) ->
                         continue
                     if len(s) > ends[-2]:
                         ends[:] = intervals(2 * len(s), least)
-                    t = signatures_of(s, ends, least)
+                    t = signatures_of(s, ends, least) if least >= RANGES_FROM else prefix_of(s, common.value, least)
                     tokens.append(t)
                     ids.append(np.full(len(t), i, np.int64))
             t, i, pairs = tied(np.concatenate(tokens), np.concatenate(ids))
@@ -270,7 +314,9 @@ def join(docs: DataFrame, words: int = 5, least: int = 80, block_docs: int = 600
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("cluster").cast("string").alias("g"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     alone = F.array(F.struct(F.concat(F.lit("bin"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("string")).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j")))
     placed = placed.select(F.col("doc_id").alias("rep"), F.col("h1").alias("rep_h1"), "own", F.when(F.col("blocks") > 1, pairs).otherwise(alone).alias("groups"))
-    wanted = docs.select("doc_id", "text").join(F.broadcast(placed) if total[0] <= broadcast_rows else placed, F.col("doc_id") == F.col("rep"))
+    placed = cut(placed)
+    sent = placed.agg(F.sum(F.size("groups"))).first()[0] or 0
+    wanted = docs.select("doc_id", "text").join(F.broadcast(placed) if sent <= broadcast_rows else placed, F.col("doc_id") == F.col("rep"))
 
     def gather(batches):
         hashes = WordHashes()

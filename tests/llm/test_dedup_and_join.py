@@ -114,7 +114,7 @@ def test_search_finds_all_that_is_linked(found, least, indexed):
         assert [want.find(k) for k in range(len(sets))] == [got.find(k) for k in range(len(sets))]
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=50, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 45), st.integers(0, 45), st.randoms(), st.sampled_from([70, 80, 90]))
 def test_linked_sets_have_a_common_signature(common, a, b, r, least):
     x, y = (list(range(1000, 1000 + common)) + [n * 10_000 + k for k in range(m)] for n, m in ((1, a), (2, b)))
@@ -122,7 +122,11 @@ def test_linked_sets_have_a_common_signature(common, a, b, r, least):
         return
     place = {t: r.randrange(1 << 64) for t in x + y}
     ends = jaccard_join.intervals(2000, least)
-    s, t = (jaccard_join.signatures_of(np.unique(np.array([place[k] for k in z], np.uint64)), ends, least) for z in (x, y))
+    sets = [np.unique(np.array([place[k] for k in z], np.uint64)) for z in (x, y)]
+    s, t = (jaccard_join.signatures_of(z, ends, least) for z in sets)
+    assert set(s.tolist()) & set(t.tolist())
+    common = np.random.default_rng(common).integers(0, 4, 1 << jaccard_join.CELL_BITS, np.uint8)
+    s, t = (jaccard_join.prefix_of(z, common, least) for z in sets)
     assert set(s.tolist()) & set(t.tolist())
 
 
