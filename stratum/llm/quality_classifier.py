@@ -102,7 +102,7 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int, rounds: int = 300, rate
     return weights, thresholds()
 
 
-def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 8000) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """The model from ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade); null grades and unknown ids are left out."""
     ratings = ratings.select("doc_id", "grade").where("grade IS NOT NULL AND doc_id IS NOT NULL")
     part = min(1.0, sample / max(1, ratings.count()))
