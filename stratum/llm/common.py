@@ -7,6 +7,7 @@ are handled as UTF-8 bytes throughout.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -46,10 +47,19 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def release() -> None:
+    """Gives a Python worker's freed memory back to the machine; workers live on and serve later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, computed at the first look-up. Emptied when it grows beyond ``most`` words."""
 
-    most = 1_000_000
+    most = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -88,3 +98,4 @@ def chunks(batches, most: int = 4 << 20):
             upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
             yield batch.slice(at, upto - at), [x or b"" for x in column.slice(at, upto - at).to_pylist()]
             at = upto
+    release()

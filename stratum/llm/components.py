@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stratum.llm.common import cut
 
+SALTS = 16
+
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node that it reaches.
@@ -17,11 +19,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
-        # large star: the greater neighbours of each node go to its smallest
-        both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(e.where("a = b")).distinct()
+        # large star: the greater neighbours of each node go to its smallest; a node may have very many, so they are salted
+        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        salted = e.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(least.select(F.col("a").alias("b"), "m", salts), ["b", "salt"], "left")
+        large = salted.select("a", F.coalesce("m", "b").alias("b")).distinct()
         # small star: the smaller neighbours of each node, and it itself, go to its smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select("a", "b", "m")

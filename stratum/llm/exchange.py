@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import chunks
+from stratum.llm.common import chunks, release
 
 ROWS = pa.schema([("dest", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
 
@@ -87,6 +87,7 @@ def exchange(docs: DataFrame, shards: int, block_bytes: int, ask: Callable, answ
         if dest >= shards:
             return table
         told, about = answer([x.as_py() for x in table["blob"]])
+        release()
         numbers = table["block"].to_pylist()
         if about is not None:
             told, numbers = [*told, about], [*numbers, -1]
@@ -97,7 +98,9 @@ def exchange(docs: DataFrame, shards: int, block_bytes: int, ask: Callable, answ
         blobs = table["blob"]
         if table["block"][0].as_py() < 0:
             return finish(None, [x.as_py() for x in blobs])
-        return finish(unpack(blobs[-1].as_py()), [x.as_py() for x in blobs[:-1]])
+        out = finish(unpack(blobs[-1].as_py()), [x.as_py() for x in blobs[:-1]])
+        release()
+        return out
 
     rows = "dest long, block long, blob binary"
     asked = docs.select("doc_id", "text").mapInArrow(asks, rows)

@@ -4,12 +4,11 @@ A document's set holds its distinct ``words``-word shingles (A-Z lowered); two d
 100 |A and B| >= least |A or B|. Equal sets are one class, joined once. Then:
 
 1. Signatures. Linked sets are of sizes in the same or in neighbouring intervals, and differ in at most H shingles,
-   H following from the interval. A set's hashes are cut into H + 3 ranges: two linked sets agree in three ranges at
-   least. The hash of a range's shingles is a signature; a set gives those of its own interval and of the next.
-   Unrelated documents agree in no range, whatever phrases or passages they share. Below ``RANGES_FROM`` percent
-   ranges would hold too few shingles for that; there the signatures are a prefix, the |A| - ceil(least |A|) + 1 shingles
-   of A that come first when those that many documents share, by a sketch of the whole corpus, come last: two linked sets
-   have one of them in common, documents that merely share a passage have not.
+   H following from the interval. A set's hashes are cut into more than H ranges: two linked sets agree in some. The hash of a range's shingles is a signature; a set gives those of its own interval and of the next.
+   Unrelated documents agree in no range, whatever phrases they share. Below ``RANGES_FROM`` percent ranges hold few
+   shingles, and documents with a long passage in common may agree; there only documents take part that may have a partner
+   at all: of a set's first |A| - ceil(least |A|) + l shingles, those that many documents share coming last, l at least
+   must occur in another document (l a twentieth of the size), as they do for linked sets in any order of shingles.
 2. Clusters. Sets with a common signature are tied to the smallest id among them: within a block of documents at once,
    across blocks in a shard of the hash space, which gets each signature once a block. Components of these ties are
    clusters; linked sets are in one cluster, and pairs are never written out.
@@ -34,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import WordHashes, chunks, cut, mix, shingle_hashes
+from stratum.llm.common import WordHashes, chunks, cut, mix, release, shingle_hashes
 from stratum.llm.components import components
-from stratum.llm.exchange import blocks, n_shards, split
+from stratum.llm.exchange import blocks, exchange, n_shards, split
 
 U = np.uint64
 M64 = (1 << 64) - 1
-#: From this percentage on, signatures are ranges.
+#: From this percentage on, ranges alone tell documents apart.
 RANGES_FROM = 90
 #: The sketch of common shingles has 2^CELL_BITS cells of a byte.
 CELL_BITS = 24
@@ -60,9 +59,11 @@ def intervals(upto: int, least: int) -> list[int]:
     return out
 
 
-def ranges(last: int, least: int) -> int:
-    """Into how many ranges sets of an interval are cut, ``last`` its last size: two more than needed for one to agree."""
-    return 2 * last * (100 - least) // (100 + least) + 3
+def ranges(last: int, least: int) -> tuple[int, int]:
+    """Into how many ranges sets of an interval are cut, ``last`` its last size, and how many more agree than the one needed."""
+    differ = 2 * last * (100 - least) // (100 + least)
+    spare = 3 + differ // 12
+    return differ + 1 + spare, spare
 
 
 def common_shingles(docs: DataFrame, words: int, bits: int = CELL_BITS) -> np.ndarray:
@@ -72,10 +73,12 @@ def common_shingles(docs: DataFrame, words: int, bits: int = CELL_BITS) -> np.nd
     """
 
     def count(batches):
-        hashes, found = WordHashes(), [np.empty(0, U)]
+        hashes, found = WordHashes(), [np.empty(0, np.uint32)]
         for _, texts in chunks(batches):
-            found += [shingle_set(b, hashes, words) >> U(64 - bits) for b in texts]
-        cells, n = np.unique(np.concatenate(found).astype(np.uint32), return_counts=True)
+            found += [(shingle_set(b, hashes, words) >> U(64 - bits)).astype(np.uint32) for b in texts]
+        del hashes
+        cells, n = np.unique(np.concatenate(found), return_counts=True)
+        del found
         cells, n = cells[n > 1], np.minimum(n[n > 1], 255).astype(np.uint8)
         for k in np.unique(cells >> np.uint32(bits - 6)).tolist():
             own = cells >> np.uint32(bits - 6) == k
@@ -95,28 +98,78 @@ def common_shingles(docs: DataFrame, words: int, bits: int = CELL_BITS) -> np.nd
     return out
 
 
+def extra(n: int) -> int:
+    """The l of a set of n shingles."""
+    return -(-n // 20)
+
+
 def prefix_of(s: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
     """The set's first shingles, rare ones before common ones."""
-    n = len(s) - up(len(s), least) + 1
+    n = len(s) - up(len(s), least) + extra(len(s))
     return s[np.lexsort((s, common[(s >> U(64 - CELL_BITS)).astype(np.int64)]))[:n]]
 
 
+def needed(n: int, least: int) -> int:
+    """How many shingles of its prefix a set of n shares with any partner's, at least; partners may be smaller."""
+    return min(extra(n), extra(up(n, least)))
+
+
+def candidates(docs: DataFrame, words: int, least: int) -> DataFrame:
+    """(doc_id) of documents that have enough of their prefix in common with others, counted exactly over all prefixes."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+
+    def shorten(batches):
+        hashes = WordHashes()
+        for batch, texts in chunks(batches):
+            sets = [shingle_set(b, hashes, words) for b in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.int64(len(s)).tobytes() + prefix_of(s, common.value, least).tobytes() for s in sets], pa.binary())], ["doc_id", "text"])
+
+    def ask(found, shards):
+        k, n = np.unique(np.concatenate([np.frombuffer(b, U, -1, 8) for part in found for b in part]), return_counts=True)
+        edges = split(k, shards)
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield np.int64(b - a).tobytes() + k[a:b].tobytes() + np.packbits(n[a:b] > 1).tobytes()
+
+    def answer(blobs):
+        sizes = [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
+        k = np.concatenate([np.frombuffer(b, U, m, 8) for b, m in zip(blobs, sizes, strict=True)])
+        twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, -1, 8 + 8 * m), count=m) for b, m in zip(blobs, sizes, strict=True)])
+        found, back, n = np.unique(k, return_inverse=True, return_counts=True)
+        hit = (n > 1)[back] | (twice > 0)  # in another block, or twice in this one
+        return [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum(sizes)[:-1])], None
+
+    def finish(table, answers):
+        blobs = table["text"].to_pylist()
+        sets = [np.frombuffer(b, U, -1, 8) for b in blobs]
+        k, back = np.unique(np.concatenate(sets), return_inverse=True)
+        edges = split(k, len(answers))
+        hit = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(m)) for b, m in zip(answers, np.diff(edges), strict=True)])[back]
+        ends = np.cumsum([len(s) for s in sets])
+        shared = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], ends])])
+        need = np.array([needed(int(np.frombuffer(b, np.int64, 1)[0]), least) for b in blobs])
+        return pa.table({"doc_id": table["doc_id"].filter(pa.array((shared >= need) & (need > 0)))})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    short = docs.select("doc_id", "text").mapInArrow(shorten, f"doc_id {kind}, text binary")
+    return exchange(short, n_shards(docs), 4 << 20, ask, answer, finish, f"doc_id {kind}").distinct()
+
+
 @lru_cache(4096)
 def bounds(m: int) -> np.ndarray:
     return np.array([(i << 64) // m for i in range(1, m)], U)
 
 
 def signatures_of(s: np.ndarray, ends: list[int], least: int) -> np.ndarray:
-    """The set's signatures. A range without shingles gives none, as two others agree as well, unless there are more such ranges."""
+    """The set's signatures. Ranges without shingles give none, unless there are more of them than spare ones that agree."""
     sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(s ^ U(0x9D)), dtype=U)])
     out = []
     k = bisect_left(ends, len(s))
     for g in (k, k + 1):
-        m = ranges(ends[g], least)
+        m, spare = ranges(ends[g], least)
         at = np.concatenate([[0], np.searchsorted(s, bounds(m)), [len(s)]])
         x = mix(mix((sums[at[1:]] - sums[at[:-1]]) ^ U(g * 0x9E3779B97F4A7C15 & M64)) + np.arange(m, dtype=U))
         full = at[1:] > at[:-1]
-        out.append(x[full] if m - int(full.sum()) <= 2 else x)
+        out.append(x[full] if m - int(full.sum()) <= spare else x)
     return np.concatenate(out)
 
 
@@ -215,10 +268,9 @@ def signed_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, h1 long, h2 long")
 
 
-def ties(docs: DataFrame, words: int, least: int, block_bytes: int = 8 << 20) -> DataFrame:
+def ties(docs: DataFrame, words: int, least: int, block_bytes: int = 4 << 20) -> DataFrame:
     """(a, b): ties that connect all documents with a signature in common. Ids are whole numbers, not null."""
-    shards = n_shards(docs, 64 << 20)
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words) if least < RANGES_FROM else None)
+    shards = n_shards(docs, 32 << 20)
 
     def forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same connections as ``pairs`` by one tie for each id, to the smallest that it reaches."""
@@ -261,7 +313,7 @@ def ties(docs: DataFrame, words: int, least: int, block_bytes: int = 8 << 20) ->
                         continue
                     if len(s) > ends[-2]:
                         ends[:] = intervals(2 * len(s), least)
-                    t = signatures_of(s, ends, least) if least >= RANGES_FROM else prefix_of(s, common.value, least)
+                    t = signatures_of(s, ends, least)
                     tokens.append(t)
                     ids.append(np.full(len(t), i, np.int64))
             t, i, pairs = tied(np.concatenate(tokens), np.concatenate(ids))
@@ -281,6 +333,8 @@ def ties(docs: DataFrame, words: int, least: int, block_bytes: int = 8 << 20) ->
             a, b = forest(tied(one, two)[2])
         else:
             a, b = one.view(np.int64), two
+        del raw, one, two
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -301,7 +355,11 @@ def join(docs: DataFrame, words: int = 5, least: int = 80, block_docs: int = 600
     key = ["h1", "h2", "n"]
     classes = cut(signed.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")))
     reps = signed.select("doc_id", *key).where("doc_id IS NOT NULL").join(classes.select(*key, "rep"), key).select("doc_id", "rep").distinct()
-    found = ties(docs, words, least)
+    some = docs.select("doc_id", "text")
+    if least < RANGES_FROM:
+        may = cut(candidates(some.where("doc_id IS NOT NULL"), words, least))
+        some = some.join(F.broadcast(may) if may.count() <= broadcast_rows else may, "doc_id", "left_semi")
+    found = ties(some, words, least)
     stars = found.join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("y")), "b").where("x <> y")
     clusters = components(stars.select(F.col("x").alias("a"), F.col("y").alias("b")))
     members = cut(classes.join(clusters, F.col("rep") == F.col("node")).select(F.col("rep").alias("doc_id"), "h1", "n", F.col("component").alias("cluster")))
@@ -338,6 +396,7 @@ def join(docs: DataFrame, words: int = 5, least: int = 80, block_docs: int = 600
         order = sorted(range(len(rows)), key=lambda k: (len(found[k]), k))
         links = search(found, order, None if i == j else sum(o == i for _, (o, _) in rows), least)
         ids = pa.array([r[0][0] for r in rows], table["doc_id"].type)
+        release()
         return pa.table({"a": ids.take(pa.array([a for a, _ in links], pa.int64())), "b": ids.take(pa.array([b for _, b in links], pa.int64()))})
 
     links = grouped.groupBy("g", "i", "j").applyInArrow(linked, f"a {kind}, b {kind}")
