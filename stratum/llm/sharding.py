@@ -2,15 +2,18 @@
 
 Documents with equal texts are linked. Every document starts in the shard that its id hashes to; then,
 round after round, linked documents move to the shard where most of their group already is, as far as
-that shard's quota allows. Members of a group in one shard are alike, so the graph is held as
-(group, shard, members) and joined with the shards' room and quotas, round after round; one group
-with a third of all documents is then at most as many rows as there are shards. Documents without a
+that shard's quota allows: with some slack until nothing gets better, then, what exceeds a quota moved on
+group by group, without slack until nothing gets better. Members of a group in one shard are alike, so the
+graph is held as (group, shard, members) and joined with the shards' room and quotas, round after round; one
+group with a third of all documents is then at most as many rows as there are shards. Documents without a
 link fill up whatever is left, which makes the law exact: ``rows``, counts at most one apart.
 Only DataFrame operations are used.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from stratum.llm.common import cut
 
 #: Documents ranked together in one task; larger groups are ranked in pieces with offsets.
 PIECE = 1000
+#: Rounds without a better cut after which it counts as no longer falling.
+PATIENCE = 4
 
 
 def by_shard(df: DataFrame, shard: str, shards: int) -> list[int]:
@@ -26,16 +31,17 @@ def by_shard(df: DataFrame, shard: str, shards: int) -> list[int]:
     return [x or 0 for x in row]
 
 
-def propagate(held: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
-    """(grp, shard, n) after the moves; ``held`` is the same before them.
+def propagate(held: DataFrame, shards: int, quota: int, most: int, rounds: int) -> DataFrame:
+    """(grp, shard, n) after the moves; ``held`` is the same before them. Shards take up to ``most`` members.
 
     A round deals the rows by group once. Members move to the shard that has most of their group among those with
     room (a group too large for one shard has as many such homes as it needs), in proportion to the room if more ask than there is; a small group's members in a shard move all or none.
+    It ends when no group asks, or when neither the members away from their group's main shard nor the places that groups are in get fewer; ``rounds`` is a bound that warns.
     """
     spark, mine = held.sparkSession, Window.partitionBy("grp")
+    best, least, lows, still = held, None, [], 0
     for k in range(rounds):
         loads = by_shard(held, "shard", shards)
-        most = quota * 6 // 5 if 2 * k < rounds else quota  # some slack at first, or full shards could not trade members
         free = F.broadcast(spark.createDataFrame([(s, max(0, most - n)) for s, n in enumerate(loads)], "shard int, free long"))  # a row a shard
         own = held.repartition("grp").groupBy("grp", "shard").agg(F.sum("n").alias("n")).join(free, "shard")
         rank = F.struct("n", F.xxhash64("grp", "shard").alias("tie"), "shard")
@@ -43,12 +49,19 @@ def propagate(held: DataFrame, shards: int, quota: int, rounds: int) -> DataFram
         wants = own.withColumn("rank", rank).withColumn("homes", F.sort_array(F.collect_list(open_).over(mine), asc=False))  # a row a shard at most
         needed = F.ceil(F.sum(F.when(F.col("free") > 0, F.col("n"))).over(mine) / max(1, quota)).cast("int")
         wants = wants.withColumn("homes", F.slice("homes", 1, F.greatest(F.lit(1), F.coalesce(needed, F.lit(1)))))
+        wants = wants.withColumn("away", F.when(F.col("rank") < F.max("rank").over(mine), F.col("n")).otherwise(0))
         goes = (F.size("homes") > 0) & (F.col("rank") < F.element_at("homes", -1))
         home = F.get("homes", F.pmod(F.xxhash64("grp", "shard", F.lit(k)), F.size("homes")).cast("int"))
-        wants = cut(wants.select("grp", "shard", "n", F.when(goes, home["shard"]).alias("to")))
+        wants = cut(wants.select("grp", "shard", "n", "away", F.when(goes, home["shard"]).alias("to")))
         asked = by_shard(wants, "to", shards)
         held = wants.select("grp", "shard", "n")
-        if not any(asked):
+        now = [x or 0 for x in wants.agg(F.sum("away"), F.count("*")).first()]
+        if least is None or now < least:
+            best = held
+        still = 0 if least is None or any(x < y for x, y in zip(now, lows, strict=True)) else still + 1
+        lows = now if least is None else [min(x, y) for x, y in zip(now, lows, strict=True)]
+        least = now if least is None else min(now, least)
+        if not any(asked) or still >= PATIENCE:
             break
         parts = [(s, min(1.0, max(0, most - n) / a)) for s, (n, a) in enumerate(zip(loads, asked, strict=True)) if a]
         luck = F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(1 << 20)) / (1 << 20)
@@ -56,10 +69,36 @@ def propagate(held: DataFrame, shards: int, quota: int, rounds: int) -> DataFram
         moves = wants.join(F.broadcast(spark.createDataFrame(parts, "to int, part double")), "to", "left").withColumn("moved", F.coalesce(moved, F.lit(0)).cast("long"))
         both = F.array(F.struct("shard", (F.col("n") - F.col("moved")).alias("n")), F.struct(F.coalesce("to", "shard").alias("shard"), F.col("moved").alias("n")))
         held = moves.select("grp", F.inline(both)).where("n > 0")
-    return cut(held.groupBy("grp", "shard").agg(F.sum("n").alias("n")))
-
-
-def assign(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
+    else:
+        warnings.warn(f"sharding: groups still ask to move after {rounds} rounds", stacklevel=2)
+    return best
+
+
+def settle(held: DataFrame, quotas: list[int]) -> DataFrame:
+    """``held`` with no shard beyond its quota: the smallest groups' rows go on, whole but where a shard or the room in one ends."""
+    loads = by_shard(held, "shard", len(quotas))
+    if all(n <= q for n, q in zip(loads, quotas, strict=True)):
+        return held
+    before, over, rooms, room = 0, [], [], 0
+    for n, q in zip(loads, quotas, strict=True):
+        over.append(before)
+        before += max(0, n - q)
+        rooms.append((room, room := room + max(0, q - n)))
+    pieces = max(1, -(-held.count() // (len(quotas) * PIECE)))
+    rows = cut(held.withColumn("piece", (F.lit(64) - F.floor(F.log2("n")).cast("int")) * pieces + F.pmod(F.xxhash64("grp"), F.lit(pieces)).cast("int")))  # large groups first
+    sums = rows.groupBy("shard", "piece").agg(F.sum("n").alias("total"))
+    sums = sums.select("shard", "piece", F.coalesce(F.sum("total").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    upto = F.sum("n").over(Window.partitionBy("shard", "piece").orderBy(F.desc("n"), "grp").rowsBetween(Window.unboundedPreceding, 0))
+    pick = lambda values: F.element_at(F.array(*(F.lit(int(v)) for v in values)), F.col("shard") + 1)
+    ends = rows.withColumn("upto", upto).join(sums, ["shard", "piece"]).withColumn("beyond", F.col("start") + F.col("upto") - pick(quotas))
+    ends = ends.withColumn("out", F.greatest(F.lit(0), F.least("n", "beyond"))).withColumn("last", pick(over) + F.col("beyond")).withColumn("at", F.col("last") - F.col("out"))
+    there = [F.struct(F.lit(s).alias("shard"), (F.least("last", F.lit(b)) - F.greatest("at", F.lit(a))).cast("long").alias("n")) for s, (a, b) in enumerate(rooms) if b > a]
+    moved = F.when(F.col("out") > 0, F.filter(F.array(*there), lambda x: x["n"] > 0)).otherwise(F.array().cast("array<struct<shard:int,n:bigint>>"))
+    stays = F.array(F.struct(F.col("shard"), (F.col("n") - F.col("out")).alias("n")))
+    return cut(ends.select("grp", F.inline(F.concat(stays, moved))).where("n > 0").groupBy("grp", "shard").agg(F.sum("n").alias("n")))
+
+
+def assign(docs: DataFrame, shards: int = 40, rounds: int = 100) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
     Null texts count as empty ones (size 16) and are equal to them. Repeated rows are rows of their own,
@@ -75,7 +114,9 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
 
     spread = base.groupBy("grp", F.col("first").alias("shard")).agg(F.count("*").alias("n"))
     sizes = spread.groupBy("grp").agg(F.sum("n").alias("members")).where("members > 1")
-    held = propagate(cut(spread.join(sizes, "grp", "left_semi")), shards, quotas[-1], rounds)
+    held = cut(spread.join(sizes, "grp", "left_semi"))
+    for most in (quotas[-1] * 6 // 5, quotas[-1]):  # some slack at first, or full shards could not trade members
+        held = settle(propagate(held, shards, quotas[-1], most, rounds), quotas)
 
     # the places of each linked group: shards in turn, each with as many members as are held there
     upto = Window.partitionBy("grp").orderBy("shard")

@@ -43,6 +43,19 @@ def test_a_group_larger_than_a_shard(spark, monkeypatch):
     assert sum(n for _, n in found.most_common(6)) >= 360
 
 
+def test_full_shards_trade_until_groups_are_whole(spark):
+    rows = [(k, f"text {k // 10}", None, None) for k in range(4000)]  # every row is linked: shards have no room to spare
+    groups = laid_out(sharding.assign(frame(spark, rows), 40).collect(), rows, 40)
+    assert len(groups) == 400 and sum(n > 1 for _, n in groups) <= 4
+
+
+def test_what_is_beyond_a_quota_moves_by_group(spark):
+    held = spark.createDataFrame([(g, 0, 4) for g in range(20)], "grp long, shard int, n long")
+    out = sharding.settle(held, [40, 22, 18]).collect()
+    assert [sum(r["n"] for r in out if r["shard"] == s) for s in range(3)] == [40, 22, 18]
+    assert len(out) <= 22 and {g: sum(r["n"] for r in out if r["grp"] == g) for g in range(20)} == dict.fromkeys(range(20), 4)
+
+
 def test_reruns_agree(spark):
     rows = awkward()
     one, two = (sorted(map(tuple, sharding.assign(frame(spark, x, parts=p), 7).collect()), key=repr) for x, p in ((rows, 2), (rows[::-1], 5)))
