@@ -15,7 +15,8 @@ A document's set holds its distinct ``words``-word shingles (A-Z lowered); two d
 3. T-occurrence search. A cluster's sets come together - many small clusters at once, a large one as pairs of blocks
    of bounded size - and each set queries an inverted index by DivideSkip: of its shingles' lists the longest are put
    aside, the short ones heap-merged, and what occurs often enough there is probed for in the long ones by binary search.
-   A document already in the query's component is passed over: the link would add nothing.
+   Every document that reaches the overlap is a link. Links are counted where they are found: a class's counts are added
+   up over its block pairs, and only the links that connect leave their block.
 4. The links found join the classes, and the classes their documents.
 """
 
@@ -186,17 +187,11 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
 
 
 def search(sets: list[np.ndarray], order: list[int], indexed: int | None, least: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked: places of ``sets``, found by DivideSkip.
+    """All links, each once: places of ``sets``, found by DivideSkip.
 
     order: places by size, equal sizes in any fixed order. indexed: None to join all with all, or the number of places (the first) that
     are indexed, the rest being queries. Each document is looked up among those before it in ``order``.
     """
-    root = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
 
     def look(place: int, lists: dict, at: list[int], sizes: list[int]) -> None:
         own = sets[place]
@@ -217,19 +212,16 @@ def search(sets: list[np.ndarray], order: list[int], indexed: int | None, least:
             if n < t - aside:
                 continue
             other = at[r]
-            if find(other) == find(place):
-                continue
             most = len(long_)
             asked = -(-least * (a + sizes[r]) // (100 + least))  # the overlap that the two sizes ask for
             for x in long_:
-                if n + most < asked:
+                if n + most < asked or n >= asked:
                     break
                 most -= 1
                 i = bisect_left(x, r)
                 n += i < len(x) and x[i] == r
             if n + most >= asked and 100 * n >= least * (a + sizes[r] - n):
                 links.append((place, other))
-                root[find(place)] = find(other)
 
     links: list[tuple[int, int]] = []
     if indexed is None:
@@ -254,6 +246,22 @@ def search(sets: list[np.ndarray], order: list[int], indexed: int | None, least:
     return links
 
 
+def connecting(links: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """Those of the links between places 0 to n - 1 that connect what all of them connect."""
+    root, out = list(range(n)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in links:
+        if (x := find(a)) != (y := find(b)):
+            root[x] = y
+            out.append((a, b))
+    return out
+
+
 def signed_sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n (set size), h1 and h2 (the set's hash) for every row."""
 
@@ -343,7 +351,7 @@ def ties(docs: DataFrame, words: int, least: int, block_bytes: int = 4 << 20) ->
 
 
 def join(docs: DataFrame, words: int = 5, least: int = 80, block_docs: int = 600, block_shingles: int = 1_000_000, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included) and class_size for every row.
+    """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included), class_size and n_links (other rows it links with, those of equal sets included) for every row.
 
     Null and empty texts have no shingles and link with nothing, not even each other. Rows of equal sets are linked;
     rows that repeat an id are one document, linked through it. Rows with a null id link like others but do not name a
@@ -362,7 +370,7 @@ def join(docs: DataFrame, words: int = 5, least: int = 80, block_docs: int = 600
     found = ties(some, words, least)
     stars = found.join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("y")), "b").where("x <> y")
     clusters = components(stars.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    members = cut(classes.join(clusters, F.col("rep") == F.col("node")).select(F.col("rep").alias("doc_id"), "h1", "n", F.col("component").alias("cluster")))
+    members = cut(classes.join(clusters, F.col("rep") == F.col("node")).select(F.col("rep").alias("doc_id"), "h1", "n", "class_size", F.col("component").alias("cluster")))
 
     sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     pieces = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
@@ -371,7 +379,7 @@ def join(docs: DataFrame, words: int = 5, least: int = 80, block_docs: int = 600
     placed = members.join(sizes.withColumn("blocks", pieces).select("cluster", "blocks"), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id", "h1"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("cluster").cast("string").alias("g"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     alone = F.array(F.struct(F.concat(F.lit("bin"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("string")).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j")))
-    placed = placed.select(F.col("doc_id").alias("rep"), F.col("h1").alias("rep_h1"), "own", F.when(F.col("blocks") > 1, pairs).otherwise(alone).alias("groups"))
+    placed = placed.select(F.col("doc_id").alias("rep"), F.col("h1").alias("rep_h1"), "class_size", "own", F.when(F.col("blocks") > 1, pairs).otherwise(alone).alias("groups"))
     placed = cut(placed)
     sent = placed.agg(F.sum(F.size("groups"))).first()[0] or 0
     wanted = docs.select("doc_id", "text").join(F.broadcast(placed) if sent <= broadcast_rows else placed, F.col("doc_id") == F.col("rep"))
@@ -381,26 +389,35 @@ def join(docs: DataFrame, words: int = 5, least: int = 80, block_docs: int = 600
         for batch, texts in chunks(batches):
             sets = [shingle_set(b, hashes, words) for b in texts]
             ok = pa.array([set_hash(s)[0] == h for s, h in zip(sets, batch.column(2).to_pylist(), strict=True)])  # not another text with this id
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "h1", "own", "groups", "hashes"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), batch.column(5), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "h1", "own", "groups", "class_size", "hashes"])
             yield out.filter(ok)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = wanted.select("doc_id", "text", "rep_h1", "own", "groups").mapInArrow(gather, f"doc_id {kind}, h1 long, own int, groups array<struct<g: string, i: int, j: int>>, hashes binary")
-    grouped = sets.select("doc_id", "h1", "own", "hashes", F.explode("groups").alias("x")).select("doc_id", "h1", "own", "hashes", "x.*")
+    sets = wanted.select("doc_id", "text", "rep_h1", "own", "groups", "class_size").mapInArrow(gather, f"doc_id {kind}, h1 long, own int, groups array<struct<g: string, i: int, j: int>>, class_size long, hashes binary")
+    grouped = sets.select("doc_id", "h1", "own", "class_size", "hashes", F.explode("groups").alias("x")).select("doc_id", "h1", "own", "class_size", "hashes", "x.*")
 
     def linked(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        rows = {(d, h): (o, np.frombuffer(x, U)) for d, h, o, x in zip(*(table[c].to_pylist() for c in ("doc_id", "h1", "own", "hashes")), strict=True)}  # repeated rows once
+        rows = {(d, h): (o, np.frombuffer(x, U), m) for d, h, o, m, x in zip(*(table[c].to_pylist() for c in ("doc_id", "h1", "own", "class_size", "hashes")), strict=True)}  # repeated rows once
         rows = sorted(rows.items(), key=lambda r: (r[1][0] != i, r[0]))
-        found = [x for _, (_, x) in rows]
+        found = [x for _, (_, x, _) in rows]
         order = sorted(range(len(rows)), key=lambda k: (len(found[k]), k))
-        links = search(found, order, None if i == j else sum(o == i for _, (o, _) in rows), least)
+        links = search(found, order, None if i == j else sum(o == i for _, (o, _, _) in rows), least)
+        counts = [0] * len(rows)
+        for x, y in links:
+            counts[x] += rows[y][1][2]
+            counts[y] += rows[x][1][2]
+        links, some = connecting(links, len(rows)), [k for k, n in enumerate(counts) if n]
         ids = pa.array([r[0][0] for r in rows], table["doc_id"].type)
         release()
-        return pa.table({"a": ids.take(pa.array([a for a, _ in links], pa.int64())), "b": ids.take(pa.array([b for _, b in links], pa.int64()))})
+        a, b = ids.take(pa.array([x for x, _ in links] + some, pa.int64())), ids.take(pa.array([y for _, y in links] + [None] * len(some), pa.int64()))
+        none = [None] * len(links)  # a link, or a class and its count
+        return pa.table({"a": a, "b": b, "h1": pa.array(none + [rows[k][0][1] for k in some], pa.int64()), "n_links": pa.array(none + [counts[k] for k in some], pa.int64())})
 
-    links = grouped.groupBy("g", "i", "j").applyInArrow(linked, f"a {kind}, b {kind}")
+    links = cut(grouped.groupBy("g", "i", "j").applyInArrow(linked, f"a {kind}, b {kind}, h1 long, n_links long"))
+    counts = links.where("n_links IS NOT NULL").groupBy(F.col("a").alias("rep"), "h1").agg(F.sum("n_links").alias("others"))
+    links = links.where("n_links IS NULL").select("a", "b")
     joined = components(links)
-    per_class = classes.join(joined, F.col("rep") == F.col("node"), "left").select(*key, "class_size", F.coalesce("component", "rep").alias("component"))
+    per_class = classes.join(counts, ["rep", "h1"], "left").join(joined, F.col("rep") == F.col("node"), "left").select(*key, "class_size", (F.col("class_size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", *key).join(per_class, key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

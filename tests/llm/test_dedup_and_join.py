@@ -87,6 +87,23 @@ def test_joins_what_comparing_all_says(spark):
         assert len(set(want.values())) < len(want)
 
 
+def test_counts_every_link(spark):
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "x"])), (3, " ".join([*base, "y"])), (4, " ".join(base).upper()), (90, None), (91, "alone")]
+    for i in range(10, 40):  # some link with most, some with few
+        w = list(base)
+        for k in range(r.choice([0, 1, 1, 2])):
+            w[40 * k + r.randrange(40)] = f"new{r.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    sets = [(i, s) for i, ss in helpers.shingle_sets(rows, 3).items() for s in ss]
+    want = {i: sum(bool(a and b) and i != j and 100 * len(a & b) >= 90 * len(a | b) for j, b in sets) for i, a in sets}
+    df = frame(spark, [(i, t, None, None) for i, t in rows], parts=4)
+    for blocks in ({}, {"block_docs": 3}):
+        assert {x["doc_id"]: x["n_links"] for x in jaccard_join.join(df, 3, 90, **blocks).collect()} == want
+    assert want[1] >= 3 and want[90] == want[91] == 0 and len(set(want.values())) > 3
+
+
 def test_join_of_awkward_rows(spark):
     rows = awkward()
     out = jaccard_join.join(frame(spark, rows), 3, 90).collect()
