@@ -10,11 +10,11 @@ from stratum.llm.common import cut
 SALTS = 16
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node that it reaches.
 
     Each round is a few aggregations and joins over the edges, whose number never grows; no node's neighbours are
-    gathered. Loops and repeated edges are allowed; nulls are not.
+    gathered. Loops and repeated edges are allowed; nulls are not. It ends at the fixed point; ``rounds`` is a bound that raises.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -32,4 +32,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components: no fixed point after {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))

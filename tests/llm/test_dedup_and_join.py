@@ -164,6 +164,11 @@ def test_components(spark):
     assert got == {n: groups.find(n) for e in edges for n in e}
 
 
+def test_components_never_end_early(spark):
+    with pytest.raises(RuntimeError, match="no fixed point"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"), rounds=2)
+
+
 def held(docs, items):
     def shingles(w, n):
         return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
