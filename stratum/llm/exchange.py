@@ -5,7 +5,8 @@ Some operators must ask, for each of a great many keys of each document, somethi
 packs the distinct keys of a block of documents (some megabytes of text) into one binary for each shard; a
 shard, a slice of the hash space, sees each key once a block at most, answers all blocks, and the answers
 meet the block's documents again by the block's number. A key that is in every document is thus one entry a
-block. Documents travel compressed beside the keys, in the same shuffle, so that what comes back meets what
+block, and a block asks only the shards that it has keys for: rows are never more than keys, and they grow
+in proportion to the input once a block has fewer keys than there are shards. Documents travel compressed beside the keys, in the same shuffle, so that what comes back meets what
 asked even if a lost task is run again. Memory: one block, or one shard's share, at a time.
 """
 
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,29 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 
+def press(x: np.ndarray) -> bytes:
+    """Whole numbers of any size, small ones in few bytes: all first bytes, then all second ones."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    planes = x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T
+    return kind.char.encode() + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpress(b: bytes) -> np.ndarray:
+    kind = np.dtype(chr(b[0]))
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1).astype(np.int64)
+
+
+def frame(*parts: bytes) -> bytes:
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def parts(b: bytes) -> list[bytes]:
+    n = int(np.frombuffer(b, np.int64, 1)[0])
+    ends = np.cumsum(np.frombuffer(b, np.int64, n, 8)) + 8 + 8 * n
+    return [b[i:j] for i, j in zip([8 + 8 * n, *ends], ends, strict=False)]
+
+
 def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.RecordBatch], list[list[bytes]]]]:
     """Slices of about ``most`` bytes of text in all, each with its texts; empty input gives none."""
     slices, found, size = [], [], 0
@@ -56,19 +81,20 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[
         yield slices, found
 
 
-def split(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's share begins and ends in sorted 64-bit keys."""
+def split(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, begin, end) of each shard's share of sorted 64-bit keys, shards without a share left out."""
     bounds = np.array([(i << 64) // shards for i in range(shards)], np.uint64)
-    return np.append(np.searchsorted(keys, bounds), len(keys))
+    edges = np.append(np.searchsorted(keys, bounds), len(keys))
+    return [(int(k), int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(edges[1:] > edges[:-1])]
 
 
 def exchange(docs: DataFrame, shards: int, block_bytes: int, ask: Callable, answer: Callable, finish: Callable, schema: str, with_slices: bool = False) -> DataFrame:
     """``finish``'s rows for all blocks of ``docs`` (doc_id, text).
 
-    ask(found, shards): blobs for the shards 0, 1, ... of a block; found holds lists of texts in order. ``with_slices``
-    also hands it the record batches.
+    ask(found, shards): (shard, blob) of a block, in order of shard, for those it has keys for; found holds lists of texts
+    in order. ``with_slices`` also hands it the record batches.
     answer(blobs): the answers to one shard's blobs, in order, and a blob about the shard or None.
-    finish(table, answers): the block's rows, from its documents and the shards' answers in order.
+    finish(table, answers): the block's rows, from its documents and the answers of the shards that it asked, in order.
     finish(None, blobs): rows from what the shards told of themselves.
     """
 
@@ -76,7 +102,7 @@ def exchange(docs: DataFrame, shards: int, block_bytes: int, ask: Callable, answ
         number = TaskContext.get().partitionId() << 32
         for slices, found in blocks(batches, block_bytes):
             more = (slices,) if with_slices else ()
-            blobs = [*enumerate(ask(found, shards, *more)), (shards + number, pack(slices))]
+            blobs = [*ask(found, shards, *more), (shards + number, pack(slices))]
             for i in range(0, len(blobs), 64):
                 part = blobs[i : i + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part]), pa.array([number] * len(part)), pa.array([b for _, b in part], pa.binary())], schema=ROWS)

@@ -1,17 +1,15 @@
 """N-gram Jaccard join: documents whose shingle sets are nearly equal, and their components.
 
 A document's set holds its distinct ``words``-word shingles (A-Z lowered); two documents link when
-100 |A and B| >= least |A or B|. Equal sets are one class, joined once. Then:
-
-1. Signatures. Linked sets are of sizes in the same or in neighbouring intervals, and differ in at most H shingles,
-   H following from the interval. A set's hashes are cut into more than H ranges: two linked sets agree in some. The hash of a range's shingles is a signature; a set gives those of its own interval and of the next.
-   Unrelated documents agree in no range, whatever phrases they share. Below ``RANGES_FROM`` percent ranges hold few
-   shingles, and documents with a long passage in common may agree; there only documents take part that may have a partner
-   at all: of a set's first |A| - ceil(least |A|) + l shingles, those that many documents share coming last, l at least
-   must occur in another document (l a twentieth of the size), as they do for linked sets in any order of shingles.
-2. Clusters. Sets with a common signature are tied to the smallest id among them: within a block of documents at once,
-   across blocks in a shard of the hash space, which gets each signature once a block. Components of these ties are
-   clusters; linked sets are in one cluster, and pairs are never written out.
+100 |A and B| >= least |A or B|. Equal sets are one class, searched once. Then:
+
+1. Rare prefixes. Blocks of documents ask shards of the hash space how many documents have each of their shingles. With
+   shingles in order of that count, rare ones first, linked sets have one in common among the first |A| - ceil(least |A|) + 1
+   of each, whatever the order; passages that many documents share come last. A set whose prefix holds only shingles
+   of its own has no partner and is done with.
+2. Clusters. Sets that share a prefix shingle and may be partners by size are tied to the smallest among them: within a block
+   at once, across blocks in a shard, which gets each shingle once a block. Components of these ties are clusters;
+   linked sets are in one cluster, and pairs are never written out.
 3. T-occurrence search. A cluster's sets come together - many small clusters at once, a large one as pairs of blocks
    of bounded size - and each set queries an inverted index by DivideSkip: of its shingles' lists the longest are put
    aside, the short ones heap-merged, and what occurs often enough there is probed for in the long ones by binary search.
@@ -23,27 +21,26 @@ A document's set holds its distinct ``words``-word shingles (A-Z lowered); two d
 from __future__ import annotations
 
 from bisect import bisect_left
-from functools import lru_cache
 from heapq import merge
 from itertools import groupby
 from math import log2
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import WordHashes, chunks, cut, mix, release, shingle_hashes
+from stratum.llm.common import WordHashes, cut, mix, release, shingle_hashes
 from stratum.llm.components import components
-from stratum.llm.exchange import blocks, exchange, n_shards, split
+from stratum.llm.exchange import exchange, frame, n_shards, parts, press, split, unpress
 
 U = np.uint64
 M64 = (1 << 64) - 1
-#: From this percentage on, ranges alone tell documents apart.
-RANGES_FROM = 90
-#: The sketch of common shingles has 2^CELL_BITS cells of a byte.
-CELL_BITS = 24
+#: A class of more than this part of all rows is joined by a broadcast, so at most as many classes are.
+HOT = 10_000
+KEY = ["h1", "h2", "n"]
 
 
 def up(n, least: int):
@@ -60,130 +57,80 @@ def intervals(upto: int, least: int) -> list[int]:
     return out
 
 
-def ranges(last: int, least: int) -> tuple[int, int]:
-    """Into how many ranges sets of an interval are cut, ``last`` its last size, and how many more agree than the one needed."""
-    differ = 2 * last * (100 - least) // (100 + least)
-    spare = 3 + differ // 12
-    return differ + 1 + spare, spare
-
+def shingle_set(text: bytes, hashes: WordHashes, words: int) -> np.ndarray:
+    """The set's hashes in order; a text of fewer words is one shingle of all of them, one of none has none."""
+    h = hashes.array(text.lower().split())
+    return np.unique(shingle_hashes(h, min(words, len(h)))) if len(h) else h
 
-def common_shingles(docs: DataFrame, words: int, bits: int = CELL_BITS) -> np.ndarray:
-    """For each of 2^bits cells, how often its shingles occur (255 or more as 255), as far as a partition has them twice or more.
 
-    It sets the order of shingles only; any order that is the same everywhere gives the same links.
-    """
-
-    def count(batches):
-        hashes, found = WordHashes(), [np.empty(0, np.uint32)]
-        for _, texts in chunks(batches):
-            found += [(shingle_set(b, hashes, words) >> U(64 - bits)).astype(np.uint32) for b in texts]
-        del hashes
-        cells, n = np.unique(np.concatenate(found), return_counts=True)
-        del found
-        cells, n = cells[n > 1], np.minimum(n[n > 1], 255).astype(np.uint8)
-        for k in np.unique(cells >> np.uint32(bits - 6)).tolist():
-            own = cells >> np.uint32(bits - 6) == k
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([cells[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary())], ["slice", "cells", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << (bits - 6), np.uint16)
-        for c, n in zip(table["cells"], table["counts"], strict=True):
-            at = np.frombuffer(c.as_py(), np.uint32) & np.uint32((1 << (bits - 6)) - 1)
-            total[at] = np.minimum(255, total[at] + np.frombuffer(n.as_py(), np.uint8))
-        return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.astype(np.uint8).tobytes()], pa.binary())})
-
-    rows = docs.select("doc_id", "text").mapInArrow(count, "slice int, cells binary, counts binary")
-    out = np.zeros(1 << bits, np.uint8)
-    for r in rows.groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():  # 2^bits bytes in all
-        out[r["slice"] << (bits - 6) : (r["slice"] + 1) << (bits - 6)] = np.frombuffer(r["counts"], np.uint8)
-    return out
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of the set's sum, as two signed longs."""
+    with np.errstate(over="ignore"):
+        return int(mix(s ^ U(0x51)).sum(dtype=U).astype(np.int64)), int(mix(s ^ U(0xA3)).sum(dtype=U).astype(np.int64))
 
 
-def extra(n: int) -> int:
-    """The l of a set of n shingles."""
-    return -(-n // 20)
+def steps(n: np.ndarray) -> np.ndarray:
+    """Counts as one byte each: as they are up to 16, then an eighth of an octave a step."""
+    return np.where(n <= 16, n, np.minimum(255, 16 + np.floor(8 * (np.log2(np.maximum(n, 1)) - 4)))).astype(np.uint8)
 
 
-def prefix_of(s: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
-    """The set's first shingles, rare ones before common ones."""
-    n = len(s) - up(len(s), least) + extra(len(s))
-    return s[np.lexsort((s, common[(s >> U(64 - CELL_BITS)).astype(np.int64)]))[:n]]
+def prefix_of(s: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+    """Of the set's first |s| - ceil(least |s|) + 1 shingles, rare ones first, those that other documents may have too."""
+    m = len(s) - up(len(s), least) + 1
+    if np.count_nonzero(counts < 2) >= m:
+        return s[:0]
+    first = np.lexsort((s, counts))[:m]
+    return s[first[counts[first] > 1]]
 
 
-def needed(n: int, least: int) -> int:
-    """How many shingles of its prefix a set of n shares with any partner's, at least; partners may be smaller."""
-    return min(extra(n), extra(up(n, least)))
+def sets_of(texts: list[bytes], words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct texts' sets, and which of them each text has."""
+    hashes, place = WordHashes(), {}
+    at = np.array([place.setdefault(xxhash.xxh3_128_digest(b), len(place)) for b in texts], np.int64)
+    first = np.unique(at, return_index=True)[1]
+    return [shingle_set(texts[i], hashes, words) for i in first.tolist()], at
 
 
-def candidates(docs: DataFrame, words: int, least: int) -> DataFrame:
-    """(doc_id) of documents that have enough of their prefix in common with others, counted exactly over all prefixes."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+def prefixes(docs: DataFrame, words: int, least: int, block_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, n (set size), h1, h2 (the set's hash) for every row; for some row at least of a set that may have partners its
+    prefix (tokens) and all its shingles (hashes), as bytes.
 
-    def shorten(batches):
-        hashes = WordHashes()
-        for batch, texts in chunks(batches):
-            sets = [shingle_set(b, hashes, words) for b in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.int64(len(s)).tobytes() + prefix_of(s, common.value, least).tobytes() for s in sets], pa.binary())], ["doc_id", "text"])
+    Counts are asked for by 32 bits below the shard's: shingles alike in these are ordered by their common count, which
+    is as good as any order that is the same everywhere.
+    """
+    bits = (n_shards(docs) - 1).bit_length()
+    low = U(32 - bits)
 
     def ask(found, shards):
-        k, n = np.unique(np.concatenate([np.frombuffer(b, U, -1, 8) for part in found for b in part]), return_counts=True)
-        edges = split(k, shards)
-        for a, b in zip(edges, edges[1:], strict=False):
-            yield np.int64(b - a).tobytes() + k[a:b].tobytes() + np.packbits(n[a:b] > 1).tobytes()
+        sets, _ = sets_of([b for part in found for b in part], words)
+        k, n = np.unique(np.concatenate([np.empty(0, U), *sets]) >> low, return_counts=True)
+        shard = (k >> U(32)).astype(np.int64)
+        edges = np.flatnonzero(np.diff(shard, prepend=-1))
+        for a, b in zip(edges, np.append(edges[1:], len(k)), strict=True):
+            yield int(shard[a]), frame(k[a:b].astype(np.uint32).tobytes(), press(n[a:b]))
 
     def answer(blobs):
-        sizes = [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
-        k = np.concatenate([np.frombuffer(b, U, m, 8) for b, m in zip(blobs, sizes, strict=True)])
-        twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, -1, 8 + 8 * m), count=m) for b, m in zip(blobs, sizes, strict=True)])
-        found, back, n = np.unique(k, return_inverse=True, return_counts=True)
-        hit = (n > 1)[back] | (twice > 0)  # in another block, or twice in this one
-        return [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum(sizes)[:-1])], None
+        asked = [parts(b) for b in blobs]
+        keys = [np.frombuffer(k, np.uint32) for k, _ in asked]
+        found, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = steps(np.bincount(back, np.concatenate([unpress(n) for _, n in asked]), len(found)))
+        return [press(x) for x in np.split(total[back], np.cumsum([len(k) for k in keys])[:-1])], None
 
     def finish(table, answers):
-        blobs = table["text"].to_pylist()
-        sets = [np.frombuffer(b, U, -1, 8) for b in blobs]
-        k, back = np.unique(np.concatenate(sets), return_inverse=True)
-        edges = split(k, len(answers))
-        hit = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(m)) for b, m in zip(answers, np.diff(edges), strict=True)])[back]
-        ends = np.cumsum([len(s) for s in sets])
-        shared = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], ends])])
-        need = np.array([needed(int(np.frombuffer(b, np.int64, 1)[0]), least) for b in blobs])
-        return pa.table({"doc_id": table["doc_id"].filter(pa.array((shared >= need) & (need > 0)))})
+        sets, at = sets_of([x or b"" for x in table["text"].cast(pa.large_binary()).to_pylist()], words)
+        k = np.unique(np.concatenate([np.empty(0, U), *sets]) >> low)
+        counts = np.concatenate([np.empty(0, np.int64), *map(unpress, answers)])
+        short = [prefix_of(s, counts[np.searchsorted(k, s >> low)], least) for s in sets]
+        both = [set_hash(s) for s in sets]
+        first = np.zeros(len(at), bool)
+        first[np.unique(at, return_index=True)[1]] = True
+        told = [i if new and len(short[i]) else None for i, new in zip(at.tolist(), first.tolist(), strict=True)]
+        blob = lambda x: pa.array([None if i is None else x[i].tobytes() for i in told], pa.binary())
+        sizes, h1, h2 = (np.array(x, np.int64)[at] for x in ([len(s) for s in sets], [a for a, _ in both], [b for _, b in both]))
+        return pa.table({"doc_id": table["doc_id"], "n": sizes, "h1": h1, "h2": h2, "tokens": blob(short), "hashes": blob(sets)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    short = docs.select("doc_id", "text").mapInArrow(shorten, f"doc_id {kind}, text binary")
-    return exchange(short, n_shards(docs), 4 << 20, ask, answer, finish, f"doc_id {kind}").distinct()
-
-
-@lru_cache(4096)
-def bounds(m: int) -> np.ndarray:
-    return np.array([(i << 64) // m for i in range(1, m)], U)
-
-
-def signatures_of(s: np.ndarray, ends: list[int], least: int) -> np.ndarray:
-    """The set's signatures. Ranges without shingles give none, unless there are more of them than spare ones that agree."""
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(s ^ U(0x9D)), dtype=U)])
-    out = []
-    k = bisect_left(ends, len(s))
-    for g in (k, k + 1):
-        m, spare = ranges(ends[g], least)
-        at = np.concatenate([[0], np.searchsorted(s, bounds(m)), [len(s)]])
-        x = mix(mix((sums[at[1:]] - sums[at[:-1]]) ^ U(g * 0x9E3779B97F4A7C15 & M64)) + np.arange(m, dtype=U))
-        full = at[1:] > at[:-1]
-        out.append(x[full] if m - int(full.sum()) <= spare else x)
-    return np.concatenate(out)
-
-
-def shingle_set(text: bytes, hashes: WordHashes, words: int) -> np.ndarray:
-    """The set's hashes in order; a text of fewer words is one shingle of all of them, one of none has none."""
-    h = hashes.array(text.lower().split())
-    return np.unique(shingle_hashes(h, min(words, len(h)))) if len(h) else h
-
-
-def set_hash(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of the set's sum, as two signed longs."""
-    with np.errstate(over="ignore"):
-        return int(mix(s ^ U(0x51)).sum(dtype=U).astype(np.int64)), int(mix(s ^ U(0xA3)).sum(dtype=U).astype(np.int64))
+    return exchange(docs, 1 << bits, block_bytes, ask, answer, finish, f"doc_id {kind}, n long, h1 long, h2 long, tokens binary, hashes binary")
 
 
 def search(sets: list[np.ndarray], order: list[int], indexed: int | None, least: int) -> list[tuple[int, int]]:
@@ -262,162 +209,152 @@ def connecting(links: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def signed_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), h1 and h2 (the set's hash) for every row."""
-
-    def sign(batches):
-        hashes = WordHashes()
-        for batch, texts in chunks(batches):
-            sets = [shingle_set(b, hashes, words) for b in texts]
-            both = [set_hash(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64())], ["doc_id", "n", "h1", "h2"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, h1 long, h2 long")
-
-
-def ties(docs: DataFrame, words: int, least: int, block_bytes: int = 4 << 20) -> DataFrame:
-    """(a, b): ties that connect all documents with a signature in common. Ids are whole numbers, not null."""
-    shards = n_shards(docs, 32 << 20)
-
-    def forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same connections as ``pairs`` by one tie for each id, to the smallest that it reaches."""
-        nodes, at = np.unique(pairs, return_inverse=True)
-        at, root = at.reshape(-1, 2), np.arange(len(nodes))
-        while len(at):
-            least = root[at].min(1)
-            before = root.copy()
-            for k in range(2):
-                np.minimum.at(root, root[at[:, k]], least)
-                np.minimum.at(root, at[:, k], least)
-            root = root[root]
-            if (root == before).all():
-                break
-        tied = root != np.arange(len(nodes))
-        return nodes[tied], nodes[root[tied]]
-
-    def tied(tokens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct tokens in order with their smallest id; ties of the other ids to it."""
-        order = np.lexsort((ids, tokens))
-        tokens, ids = tokens[order], ids[order]
-        new = np.ones(len(tokens), bool)
-        new[1:] = tokens[1:] != tokens[:-1]
-        hub = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(ids) else ids
-        other = ids != hub
-        return tokens[new], ids[new], np.stack([ids[other], hub[other]], 1)
+def forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same connections as ``pairs`` by one tie for each id, to the smallest that it reaches."""
+    nodes, at = np.unique(pairs, return_inverse=True)
+    at, root = at.reshape(-1, 2), np.arange(len(nodes))
+    while len(at):
+        least = root[at].min(1)
+        before = root.copy()
+        for k in range(2):
+            np.minimum.at(root, root[at[:, k]], least)
+            np.minimum.at(root, at[:, k], least)
+        root = root[root]
+        if (root == before).all():
+            break
+    tied = root != np.arange(len(nodes))
+    return nodes[tied], nodes[root[tied]]
+
+
+def tied(tokens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens in order with their smallest id; ties of the other ids to it."""
+    order = np.lexsort((ids, tokens))
+    tokens, ids = tokens[order], ids[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    hub = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(ids) else ids
+    other = ids != hub
+    return tokens[new], ids[new], np.stack([ids[other], hub[other]], 1)
+
+
+def by_size(tokens: np.ndarray, n: int, ends: list[int]) -> np.ndarray:
+    """A set's tokens for its own interval of sizes and for the next: sets that are too unlike in size have none in common."""
+    k = bisect_left(ends, n)
+    return np.concatenate([mix(tokens ^ U(g * 0x9E3779B97F4A7C15 & M64)) for g in (k, k + 1)])
+
+
+def ties(sets: DataFrame, least: int, block_tokens: int = 1 << 19, shard_tokens: int = 1 << 21) -> DataFrame:
+    """(a, b): ties that connect all sets (node, n, tokens) with a token in common that may be partners by size."""
+    total = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    shards = max(8, -(-total // (4 * shard_tokens)))  # 8 bytes a token, each twice
 
     def send(batches):
-        task, hashes, ends = TaskContext.get().partitionId(), WordHashes(), intervals(1 << 20, least)
-        for slices, found in blocks(batches, block_bytes):
-            seen, tokens, ids, copies = {}, [np.empty(0, U)], [np.empty(0, np.int64)], []
-            for part, texts in zip(slices, found, strict=True):
-                for i, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    s = shingle_set(text, hashes, words)
-                    if not len(s):
-                        continue
-                    first = seen.setdefault((len(s), *set_hash(s)), i)  # equal sets of a block stand for each other
-                    if first != i:
-                        copies.append((max(i, first), min(i, first)))
-                        continue
-                    if len(s) > ends[-2]:
-                        ends[:] = intervals(2 * len(s), least)
-                    t = signatures_of(s, ends, least)
-                    tokens.append(t)
-                    ids.append(np.full(len(t), i, np.int64))
+        task, ends = TaskContext.get().partitionId(), intervals(1 << 20, least)
+
+        def packed(tokens, ids):
             t, i, pairs = tied(np.concatenate(tokens), np.concatenate(ids))
-            a, b = forest(np.concatenate([pairs, np.array(copies, np.int64).reshape(-1, 2)]))
-            edges = split(t, shards)
-            dest = [*range(shards), shards + task]
-            blobs = [np.int64(e - s).tobytes() + t[s:e].tobytes() + i[s:e].tobytes() for s, e in zip(edges, edges[1:], strict=False)]
-            blobs.append(np.int64(len(a)).tobytes() + a.tobytes() + b.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array(blobs, pa.binary())], ["dest", "blob"])
+            a, b = forest(pairs)
+            rows = [(k, np.int64(y - x).tobytes() + t[x:y].tobytes() + i[x:y].tobytes()) for k, x, y in split(t, shards)]
+            rows += [(shards + task, np.int64(len(a)).tobytes() + a.tobytes() + b.tobytes())] * bool(len(a))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["dest", "blob"])
+
+        tokens, ids, size = [], [], 0
+        for batch in batches:
+            for node, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n > ends[-2]:
+                    ends = intervals(2 * n, least)
+                tokens.append(by_size(np.frombuffer(blob, U), n, ends))
+                ids.append(np.full(len(tokens[-1]), node, np.int64))
+                size += len(tokens[-1])
+                if size >= block_tokens:
+                    yield packed(tokens, ids)
+                    tokens, ids, size = [], [], 0
+        if tokens:
+            yield packed(tokens, ids)
 
     def meet(table: pa.Table) -> pa.Table:
         raw = [x.as_py() for x in table["blob"]]
         n = [int(np.frombuffer(b, np.int64, 1)[0]) for b in raw]
         one = np.concatenate([np.frombuffer(b, U, m, 8) for b, m in zip(raw, n, strict=True)])
         two = np.concatenate([np.frombuffer(b, np.int64, m, 8 + 8 * m) for b, m in zip(raw, n, strict=True)])
-        if table["dest"][0].as_py() < shards:
-            a, b = forest(tied(one, two)[2])
-        else:
-            a, b = one.view(np.int64), two
+        a, b = forest(tied(one, two)[2] if table["dest"][0].as_py() < shards else np.stack([one.view(np.int64), two], 1))
         del raw, one, two
         release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sent = rows.mapInArrow(send, "dest long, blob binary")
+    sent = sets.select("node", "n", "tokens").mapInArrow(send, "dest long, blob binary")
     return sent.groupBy("dest").applyInArrow(meet, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, words: int = 5, least: int = 80, block_docs: int = 600, block_shingles: int = 1_000_000, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included), class_size and n_links (other rows it links with, those of equal sets included) for every row.
+def repeated_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that rows with the same id are in."""
+    more = cut(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    rows = signed.where("n > 0").join(more, "doc_id", "left_semi").select("doc_id", *KEY).distinct().join(classes.select(*KEY, "node"), KEY)
+    hubs = rows.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("doc_id", "b")
+    return rows.join(hubs, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
+def search_groups(sets: DataFrame, clusters: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+    """``sets`` (node, n, ...) of ``clusters`` (node, cluster), a row for each group (g, i, j) in which they are searched; own: the set's block.
 
-    Null and empty texts have no shingles and link with nothing, not even each other. Rows of equal sets are linked;
-    rows that repeat an id are one document, linked through it. Rows with a null id link like others but do not name a
-    component; alone, their component is null. Other columns play no part; an empty table gives an empty result.
-    No partner or candidate is dropped at any size: clusters beyond ``block_docs`` or ``block_shingles`` are
-    searched as all pairs of their blocks.
+    Small clusters share groups; a large one is all pairs of its blocks. What is joined by cluster is whole numbers only.
     """
-    signed = cut(signed_sets(docs, words))
-    key = ["h1", "h2", "n"]
-    classes = cut(signed.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")))
-    reps = signed.select("doc_id", *key).where("doc_id IS NOT NULL").join(classes.select(*key, "rep"), key).select("doc_id", "rep").distinct()
-    some = docs.select("doc_id", "text")
-    if least < RANGES_FROM:
-        may = cut(candidates(some.where("doc_id IS NOT NULL"), words, least))
-        some = some.join(F.broadcast(may) if may.count() <= broadcast_rows else may, "doc_id", "left_semi")
-    found = ties(some, words, least)
-    stars = found.join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("y")), "b").where("x <> y")
-    clusters = components(stars.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    members = cut(classes.join(clusters, F.col("rep") == F.col("node")).select(F.col("rep").alias("doc_id"), "h1", "n", "class_size", F.col("component").alias("cluster")))
-
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    pieces = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
-    total = members.agg(F.count("*"), F.sum("n")).first()
+    placed = cut(sets.select("node", "n").join(clusters, "node"))
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
+    large = sizes.withColumn("blocks", blocks).where("blocks > 1").select("cluster", "blocks")
+    total = placed.agg(F.count("*"), F.sum("n")).first()
     bins = max(1, (total[1] or 0) * 2 // block_shingles, total[0] * 2 // block_docs)
-    placed = members.join(sizes.withColumn("blocks", pieces).select("cluster", "blocks"), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id", "h1"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("cluster").cast("string").alias("g"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    alone = F.array(F.struct(F.concat(F.lit("bin"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("string")).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j")))
-    placed = placed.select(F.col("doc_id").alias("rep"), F.col("h1").alias("rep_h1"), "class_size", "own", F.when(F.col("blocks") > 1, pairs).otherwise(alone).alias("groups"))
-    placed = cut(placed)
-    sent = placed.agg(F.sum(F.size("groups"))).first()[0] or 0
-    wanted = docs.select("doc_id", "text").join(F.broadcast(placed) if sent <= broadcast_rows else placed, F.col("doc_id") == F.col("rep"))
-
-    def gather(batches):
-        hashes = WordHashes()
-        for batch, texts in chunks(batches):
-            sets = [shingle_set(b, hashes, words) for b in texts]
-            ok = pa.array([set_hash(s)[0] == h for s, h in zip(sets, batch.column(2).to_pylist(), strict=True)])  # not another text with this id
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), batch.column(5), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "h1", "own", "groups", "class_size", "hashes"])
-            yield out.filter(ok)
+    placed = placed.select("node", "cluster").join(large, "cluster", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("cluster").alias("g"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    alone = F.array(F.struct((-1 - F.pmod(F.xxhash64("cluster"), F.lit(bins))).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j")))
+    placed = placed.select("node", "own", F.when(F.col("blocks") > 1, pairs).otherwise(alone).alias("groups"))
+    return sets.join(placed, "node").withColumn("x", F.explode("groups")).select(*sets.columns, "own", "x.*")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = wanted.select("doc_id", "text", "rep_h1", "own", "groups", "class_size").mapInArrow(gather, f"doc_id {kind}, h1 long, own int, groups array<struct<g: string, i: int, j: int>>, class_size long, hashes binary")
-    grouped = sets.select("doc_id", "h1", "own", "class_size", "hashes", F.explode("groups").alias("x")).select("doc_id", "h1", "own", "class_size", "hashes", "x.*")
+
+def join(docs: DataFrame, words: int = 5, least: int = 80, block_docs: int = 600, block_shingles: int = 1_000_000, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included), class_size and n_links (other rows it links with, those of equal sets included) for every row.
+
+    Null and empty texts have no shingles and link with nothing, not even each other. Rows of equal sets are linked; rows
+    that repeat an id are one document, linked through it; ids may be of any type that has an order. Rows with a null id
+    link like others but do not name a component; where all ids of a component are null, so is its name. Other columns play no part; an
+    empty table gives an empty result. No partner or candidate is dropped at any size: clusters beyond ``block_docs`` or
+    ``block_shingles`` are searched as all pairs of their blocks.
+    """
+    signed = cut(prefixes(docs, words, least))
+    classes = signed.where("n > 0").groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    sets = cut(signed.where("hashes IS NOT NULL").select(*KEY, "tokens", "hashes").dropDuplicates(KEY).join(classes.select(*KEY, "node", "class_size"), KEY).drop("h1", "h2"))
+    clusters = cut(components(ties(sets, least)).withColumnRenamed("component", "cluster"))
+    grouped = search_groups(sets.drop("tokens"), clusters, block_docs, block_shingles)
 
     def linked(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        rows = {(d, h): (o, np.frombuffer(x, U), m) for d, h, o, m, x in zip(*(table[c].to_pylist() for c in ("doc_id", "h1", "own", "class_size", "hashes")), strict=True)}  # repeated rows once
-        rows = sorted(rows.items(), key=lambda r: (r[1][0] != i, r[0]))
-        found = [x for _, (_, x, _) in rows]
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("own", "node", "class_size", "hashes")), strict=True), key=lambda r: (r[0] != i, r[1]))
+        found = [np.frombuffer(r[3], U) for r in rows]
         order = sorted(range(len(rows)), key=lambda k: (len(found[k]), k))
-        links = search(found, order, None if i == j else sum(o == i for _, (o, _, _) in rows), least)
+        links = search(found, order, None if i == j else sum(r[0] == i for r in rows), least)
         counts = [0] * len(rows)
         for x, y in links:
-            counts[x] += rows[y][1][2]
-            counts[y] += rows[x][1][2]
+            counts[x] += rows[y][2]
+            counts[y] += rows[x][2]
         links, some = connecting(links, len(rows)), [k for k, n in enumerate(counts) if n]
-        ids = pa.array([r[0][0] for r in rows], table["doc_id"].type)
         release()
-        a, b = ids.take(pa.array([x for x, _ in links] + some, pa.int64())), ids.take(pa.array([y for _, y in links] + [None] * len(some), pa.int64()))
-        none = [None] * len(links)  # a link, or a class and its count
-        return pa.table({"a": a, "b": b, "h1": pa.array(none + [rows[k][0][1] for k in some], pa.int64()), "n_links": pa.array(none + [counts[k] for k in some], pa.int64())})
-
-    links = cut(grouped.groupBy("g", "i", "j").applyInArrow(linked, f"a {kind}, b {kind}, h1 long, n_links long"))
-    counts = links.where("n_links IS NOT NULL").groupBy(F.col("a").alias("rep"), "h1").agg(F.sum("n_links").alias("others"))
-    links = links.where("n_links IS NULL").select("a", "b")
-    joined = components(links)
-    per_class = classes.join(counts, ["rep", "h1"], "left").join(joined, F.col("rep") == F.col("node"), "left").select(*key, "class_size", (F.col("class_size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", *key).join(per_class, key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        node = lambda places: [rows[k][1] for k in places]
+        a, b = node(x for x, _ in links) + node(some), node(y for _, y in links) + [None] * len(some)
+        n = [None] * len(links) + [counts[k] for k in some]  # a link, or a class and its count
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n_links": pa.array(n, pa.int64())})
+
+    links = cut(grouped.groupBy("g", "i", "j").applyInArrow(linked, "a long, b long, n_links long"))
+    counts = links.where("n_links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("others"))
+    joined = cut(components(links.where("n_links IS NULL").select("a", "b").unionAll(repeated_ids(signed, classes))))
+    names = classes.join(joined, "node").groupBy("component").agg(F.min("rep").alias("name"))
+    told = classes.join(counts, "node", "left").join(joined.join(names, "component"), "node", "left")
+    told = cut(told.select(*KEY, "class_size", F.coalesce("name", "rep").alias("component_id"), (F.col("class_size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+
+    rows, many = signed.select("doc_id", *KEY), max(1, signed.count() // hot)
+    large = F.broadcast(told.where(F.col("class_size") > many))  # fewer than ``hot`` rows
+    some = rows.where("n > 0").join(told.where(F.col("class_size") > many).select(*KEY).hint("broadcast"), KEY, "left_anti").join(told.where(F.col("class_size") <= many), KEY)
+    none = rows.where("n = 0").select(*rows.columns, F.lit(1).cast("long").alias("class_size"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    out = rows.where("n > 0").join(large, KEY).unionByName(some).unionByName(none)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", "n_links")

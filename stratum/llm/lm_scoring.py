@@ -21,12 +21,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.common import crc_mod, cut, mix
-from stratum.llm.exchange import exchange, n_shards, pack, split, unpack
+from stratum.llm.exchange import exchange, frame, n_shards, pack, parts, press, split, unpack, unpress
 
 U = np.uint64
 START = U(0x5374617274)  # stands for the hash of the context before the first word
@@ -93,19 +92,6 @@ def widen(b: bytes) -> np.ndarray:
     return x.view(U).reshape(-1)
 
 
-def press(x: np.ndarray) -> bytes:
-    """Whole numbers of any size, small ones in few bytes: all first bytes, then all second ones."""
-    kind = np.min_scalar_type(int(x.max(initial=0)))
-    planes = x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T
-    return kind.char.encode() + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
-
-
-def unpress(b: bytes) -> np.ndarray:
-    kind = np.dtype(chr(b[0]))
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(kind.itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1).astype(np.int64)
-
-
 def contexts(c1: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Each token's context's count: that of the token before; for a first token that of the start, as many as ends."""
     ends = np.cumsum(sizes)
@@ -115,16 +101,6 @@ def contexts(c1: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def frame(*parts: bytes) -> bytes:
-    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
-
-
-def parts(b: bytes) -> list[bytes]:
-    n = int(np.frombuffer(b, np.int64, 1)[0])
-    ends = np.cumsum(np.frombuffer(b, np.int64, n, 8)) + 8 + 8 * n
-    return [b[i:j] for i, j in zip([8 + 8 * n, *ends], ends, strict=False)]
-
-
 def fit(held: dict[tuple[int, int, int], int], n: int, v: int, rounds: int = 60) -> np.ndarray:
     """Weights (bucket, 3) of bigram, unigram, uniform by EM; held: (bucket, ratio step, count step) -> tokens."""
     out = np.tile([0.0, 0.5, 0.5], (BUCKETS, 1))
@@ -173,10 +149,10 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
         del block, both, mine
         i, j = np.argsort(word_hashes), np.argsort(hashes)
         word_hashes, hashes, words, pairs = word_hashes[i], hashes[j], words[i], pairs[j]
-        at, to = split(word_hashes, shards), split(hashes, shards)
-        for k in range(shards):
-            w, p = slice(at[k], at[k + 1]), slice(to[k], to[k + 1])
-            yield frame(word_hashes[w].tobytes(), press(words[w]), narrow(hashes[p], k, shards), press(pairs[p]))
+        at, to = ({k: slice(a, b) for k, a, b in split(x, shards)} for x in (word_hashes, hashes))
+        for k in sorted(at.keys() | to.keys()):
+            w, p = at.get(k, slice(0)), to.get(k, slice(0))
+            yield k, frame(word_hashes[w].tobytes(), press(words[w]), narrow(hashes[p], k, shards), press(pairs[p]))
 
     def totals(keys, counts):
         found, back = np.unique(keys, return_inverse=True)

@@ -181,9 +181,8 @@ def remove(docs: DataFrame, window: int = WINDOW, max_bits: int = 27, block_byte
         first = np.flatnonzero(new)
         twice = np.diff(np.append(first, len(new))) > 1
         one, two = one[first], two[first]
-        edges = split(one, shards)
-        for a, b in zip(edges, edges[1:], strict=False):
-            yield np.int64(b - a).tobytes() + one[a:b].tobytes() + two[a:b].tobytes() + np.packbits(twice[a:b]).tobytes()
+        for k, a, b in split(one, shards):
+            yield k, np.int64(b - a).tobytes() + one[a:b].tobytes() + two[a:b].tobytes() + np.packbits(twice[a:b]).tobytes()
 
     def answer(blobs):
         sizes = [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
@@ -203,8 +202,8 @@ def remove(docs: DataFrame, window: int = WINDOW, max_bits: int = 27, block_byte
         found = [x or b"" for x in table["text"].cast(pa.large_binary()).to_pylist()]
         h, sizes = read([found], WordHashes())
         at, order, new, one, _ = packed(h, sizes)
-        edges = split(one[np.flatnonzero(new)], shards)
-        hit = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(m)) for b, m in zip(answers, np.diff(edges), strict=True)]).astype(bool)
+        asked = split(one[np.flatnonzero(new)], shards)
+        hit = np.concatenate([np.empty(0, np.uint8), *(np.unpackbits(np.frombuffer(b, np.uint8), count=n - m) for b, (_, m, n) in zip(answers, asked, strict=True))]).astype(bool)
         gone = np.zeros(len(h) + 1, np.int32)
         places = at[order[hit[np.cumsum(new) - 1]]] if len(at) else at
         np.add.at(gone, places, 1)

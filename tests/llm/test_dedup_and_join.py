@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from stratum.llm import decontamination, jaccard_join, substring_dedup
 from stratum.llm.common import mix
 from stratum.llm.components import components
+from stratum.llm.exchange import split
 from stratum.llm.queries import ORACLE_SQL, QUERIES
 from tests.compare import same
 from tests.llm import helpers
@@ -80,13 +81,35 @@ def test_joins_what_comparing_all_says(spark):
                 w[r.randrange(len(w))] = f"new{r.randrange(9)}"
             rows.append((1000 + len(rows) * 7 % 997, " ".join(w[: len(w) - r.choice([0, 0, 1, 3])])))
     df = frame(spark, [(i, t, None, None) for i, t in rows], parts=4)
-    for n, least, blocks in ((3, 90, {}), (3, 90, {"block_docs": 3}), (5, 80, {"block_shingles": 100, "broadcast_rows": 0})):
+    for n, least, blocks in ((3, 90, {}), (3, 90, {"block_docs": 3}), (5, 80, {"block_shingles": 100, "hot": 50})):
         want, sets = helpers.components(rows, n, least), helpers.shingle_sets(rows, n)
         got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df, n, least, **blocks).collect()}
         assert got == {(i, len(s), want[i]) for i, ss in sets.items() for s in ss}
         assert len(set(want.values())) < len(want)
 
 
+def test_join_of_any_ids(spark):
+    base = [f"w{k}" for k in range(120)]
+    far = [*base[:-6], *(f"z{k}" for k in range(6))]
+    chain = [("b", base), (None, [*base[:-3], "z0", "z1", "z2"]), ("a", far), ("lone", ["x"] * 9), ("twice", ["p"] * 40), ("twice", ["q", "r"] * 20), ("other", ["q", "r"] * 20), (None, ["no", "one"])]
+    rows = [(i, " ".join(w)) for i, w in chain]
+    want = {"b": "a", "a": "a", "lone": "lone", "twice": "other", "other": "other"}
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.join(df, 5, 90).collect()]
+    assert sorted(got, key=str) == sorted([*((i, want[i]) for i, _ in rows if i), (None, "a"), (None, None)], key=str)
+    numbers = {"b": 5, "a": 1, "lone": 7, "twice": 3, "other": 2, None: None}
+    df = spark.createDataFrame([(numbers[i], t) for i, t in rows], "doc_id int, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.join(df, 5, 90).collect()]
+    assert sorted(got, key=str) == sorted([*((numbers[i], numbers[want[i]]) for i, _ in rows if i), (None, 1), (None, None)], key=str)
+
+
+def test_a_block_asks_only_shards_that_it_has_keys_for():
+    keys = np.sort(mix(np.arange(50, dtype=np.uint64)))
+    asked = split(keys, 1 << 20)
+    assert len(asked) == 50 and all(b - a == 1 for _, a, b in asked) and [a for _, a, _ in asked] == list(range(50))
+    assert sum(b - a for _, a, b in split(keys, 8)) == 50 and split(keys[:0], 8) == []
+
+
 def test_counts_every_link(spark):
     r = random.Random(6)
     base = [f"w{k}" for k in range(120)]
@@ -119,13 +142,13 @@ def test_search_finds_all_that_is_linked(found, least, indexed):
     sets = [np.array(sorted(s), np.uint64) for s in found]
     order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), k))
     linked = lambda a, b: 100 * len(found[a] & found[b]) >= least * len(found[a] | found[b])
-    for split in (None, min(indexed, len(sets))):
+    for upto in (None, min(indexed, len(sets))):
         want, got = helpers.Groups(), helpers.Groups()
         for b in range(len(sets)):
             for a in range(b):
-                if (split is None or a < split <= b) and linked(a, b):
+                if (upto is None or a < upto <= b) and linked(a, b):
                     want.join(a, b)
-        for a, b in jaccard_join.search(sets, order, split, least):
+        for a, b in jaccard_join.search(sets, order, upto, least):
             assert linked(a, b)
             got.join(a, b)
         assert [want.find(k) for k in range(len(sets))] == [got.find(k) for k in range(len(sets))]
@@ -133,18 +156,23 @@ def test_search_finds_all_that_is_linked(found, least, indexed):
 
 @settings(max_examples=50, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 45), st.integers(0, 45), st.randoms(), st.sampled_from([70, 80, 90]))
-def test_linked_sets_have_a_common_signature(common, a, b, r, least):
+def test_linked_sets_share_a_token(common, a, b, r, least):
     x, y = (list(range(1000, 1000 + common)) + [n * 10_000 + k for k in range(m)] for n, m in ((1, a), (2, b)))
     if 100 * common < least * (common + a + b):
         return
     place = {t: r.randrange(1 << 64) for t in x + y}
+    counts = {place[t]: r.choice([2, 2, 2, 3, 40]) if t in x and t in y else r.choice([1, 1, 2, 40]) for t in x + y}
     ends = jaccard_join.intervals(2000, least)
     sets = [np.unique(np.array([place[k] for k in z], np.uint64)) for z in (x, y)]
-    s, t = (jaccard_join.signatures_of(z, ends, least) for z in sets)
+    s, t = (jaccard_join.by_size(jaccard_join.prefix_of(z, np.array([counts[k] for k in z.tolist()]), least), len(z), ends) for z in sets)
     assert set(s.tolist()) & set(t.tolist())
-    common = np.random.default_rng(common).integers(0, 4, 1 << jaccard_join.CELL_BITS, np.uint8)
-    s, t = (jaccard_join.prefix_of(z, common, least) for z in sets)
-    assert len(set(s.tolist()) & set(t.tolist())) >= max(jaccard_join.needed(len(z), least) for z in sets) > 0
+
+
+def test_steps_keep_the_order_of_counts():
+    n = np.arange(1, 100_000)
+    s = jaccard_join.steps(n)
+    assert (np.diff(s.astype(int)) >= 0).all() and (s[n < 2] < 2).all() and (s[n > 1] > 1).all()
+    assert jaccard_join.steps(np.array([1 << 40]))[0] == 255
 
 
 @pytest.mark.parametrize("least", [50, 70, 90, 100])
