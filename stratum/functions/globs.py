@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.paths import ancestors, col
 
-#: Left out by default: patterns for anything, and for files alone.
+#: Left out by default (fixed values): patterns for anything, and for files alone.
 DEFAULT_EXCLUDE = (".stratum/**", ".git/**", "bin/**", "obj/**")
 DEFAULT_FILES = ("*.tmp", "*.log", "*.user")
 
@@ -33,6 +33,13 @@ def body(pattern: str) -> str:
     return "".join(names.get(t) or re.escape(t) for t in re.findall(r"\*\*|\*|\?|[^*?]+", pattern))
 
 
+def path_glob(pattern: str) -> str:
+    """A whole-path pattern with case: ``**/`` any folders or none, a ``/`` at the end all below."""
+    p = pattern.replace("\\", "/").removeprefix("./").lstrip("/")
+    p = p + "**" if p.endswith("/") else p
+    return "(?s)^" + "".join("(?:.*/)?" if t == "**/" else body(t) for t in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", p)) + "$"
+
+
 @dataclass(frozen=True)
 class Globs:
     """Patterns compiled into one expression for folders alone (those that end in a slash) and one for anything."""

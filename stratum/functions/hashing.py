@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +27,46 @@ def file_digest(path: Column | str, size: Column | str, content: Column | str) -
     return sha256(F.concat(F.encode(F.concat(path, F.lit("\n"), size.cast("string"), F.lit("\n")), "UTF-8"), content))
 
 
-def fold(path: str, digest: str) -> Column:
-    """Aggregate: the digest of the raw digests in path order. Not associative, so a snapshot's 32-byte digests meet in one task."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.col(digest).alias("d"))))
-    return sha256(F.unhex(F.array_join(F.transform(ordered, lambda x: x["d"]), "")))
-
-
-def text_fold(path: str, text: str) -> Column:
-    """Aggregate: the digest of texts joined in path order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.col(text).alias("t"))))
-    return sha256(F.encode(F.array_join(F.transform(ordered, lambda x: x["t"]), ""), "UTF-8"))
+def ordered_digest(rows: DataFrame, keys: list[str], order: list[str], data: str, size: str) -> DataFrame:
+    """Per ``keys``: digest (of the binary column ``data`` joined in the order given), n (rows) and total (of ``size``); without keys always one row.
+
+    SHA-256 takes its bytes one after another, so one task must see all of a snapshot's; it sorts them, on disk if need be,
+    and holds one batch at a time.
+    """
+    schema = rows.select(*keys).schema
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h, n, total, done, kinds = None, None, 0, 0, [], []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            kinds = [batch.schema.field(k).type for k in keys]
+            if keys:
+                own = list(zip(*(table[k].to_pylist() for k in keys), strict=True))
+                starts = [k for k in range(len(own)) if k == 0 or own[k] != own[k - 1]]
+            else:
+                own, starts = [()] * len(table), [0] if len(table) else []
+            for at, end in zip(starts, [*starts[1:], len(table)], strict=True):
+                if h is None or own[at] != now:
+                    if h is not None:
+                        done.append((*now, h.hexdigest().upper(), n, total))
+                    now, h, n, total = own[at], hashlib.sha256(), 0, 0
+                part = table.slice(at, end - at)
+                for x in part[data]:
+                    h.update(x.as_buffer() if x.is_valid else b"")
+                n += len(part)
+                total += sum(x or 0 for x in part[size].to_pylist())
+        if h is not None:
+            done.append((*now, h.hexdigest().upper(), n, total))
+        names = [*keys, "digest", "n", "total"]
+        if done:
+            kinds += [pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], names)
+
+    dealt = rows.select(*keys, *order, data, size)
+    dealt = (dealt.repartition(*keys) if keys else dealt.repartition(1)).sortWithinPartitions(*keys, *order).select(*keys, data, size)
+    out = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in schema) + "digest string, n long, total long"
+    found = dealt.mapInArrow(digest, out)
+    return found if keys else found.agg(F.coalesce(F.max("digest"), F.lit(EMPTY_SHA256)).alias("digest"), F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("total"), F.lit(0)).alias("total"))
 
 
 def manifest_line(path: Column, size: Column, hashes: Column) -> Column:
@@ -48,31 +82,21 @@ def snapshot_hashes(files: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fold_digests(per_file: DataFrame, keys: list[str]) -> DataFrame:
-    """The same from digests that are already known; files: keys, path, bytes, digest. An empty digest is an error."""
+    """The same from digests that are already known, raw and in path order; files: keys, path, bytes, digest. An empty digest is an error."""
     sound = F.when(F.length("digest") == 64, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("no digest for "), F.col("path"))))
-    return per_file.withColumn("digest", sound).groupBy(*keys).agg(fold("path", "digest").alias("snapshot_hash"), F.count("*").alias("file_count"), F.sum("bytes").alias("total_bytes"))
+    found = ordered_digest(per_file.withColumn("raw", F.unhex(sound.cast("string"))), keys, ["path"], "raw", "bytes")
+    return found.select(*keys, F.col("digest").alias("snapshot_hash"), F.col("n").alias("file_count"), F.col("total").alias("total_bytes"))
 
 
 def manifest_hashes(files: DataFrame, keys: list[str]) -> DataFrame:
     """Per snapshot: the digest of the manifest text; files: keys, path, bytes, chunk_hashes."""
-    lines = files.select(*keys, "path", manifest_line(F.col("path"), F.col("bytes"), F.col("chunk_hashes")).alias("line"))
-    return lines.groupBy(*keys).agg(text_fold("path", "line").alias("original_sha256"))
+    line = F.encode(manifest_line(F.col("path"), F.col("bytes"), F.col("chunk_hashes")), "UTF-8")
+    found = ordered_digest(files.select(*keys, "path", "bytes", line.alias("line")), keys, ["path"], "line", "bytes")
+    return found.select(*keys, F.col("digest").alias("original_sha256"))
 
 
 def content_concat_hash(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Per snapshot: the digest of all bytes in path order, streamed file by file so that no task holds the whole content in one value."""
-    import hashlib
-
-    import pyarrow as pa
-
-    schema = files.select(*keys).schema
-
-    def digest(group: pa.Table) -> pa.Table:
-        group = group.sort_by("path")
-        h = hashlib.sha256()
-        for x in group["content"]:
-            h.update(x.as_py() or b"")
-        return pa.table({**{k: group[k][:1] for k in keys}, "content_sha256": [h.hexdigest().upper()]})
-
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", content_sha256 string"
-    return files.select(*keys, "path", "content").groupBy(*keys).applyInArrow(digest, out)
+    """Per snapshot: the digest of all bytes in path order; files: keys, path, content, or keys, path, idx, data in pieces."""
+    order, data = (["path", "idx"], "data") if "idx" in files.columns else (["path"], "content")
+    found = ordered_digest(files.withColumn("bytes", F.octet_length(data).cast("long")), keys, order, data, "bytes")
+    return found.select(*keys, F.col("digest").alias("content_sha256"))

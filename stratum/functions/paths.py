@@ -57,12 +57,12 @@ def nfc(path: pd.Series) -> pd.Series:
 
 
 def canonical(path: Column | str, snapshot_id: Column | str) -> Column:
-    """A path as inventories write it, made comparable: trimmed, without one leading slash, the part up to the snapshot's
-    own folder and a leading payload folder, in normal form C."""
-    p = F.regexp_replace(F.trim(col(path)), r"^/", "")
+    """A path as inventories write it, made comparable: slashes one way, trimmed, without one leading slash, the part up to the
+    snapshot's own folder and a leading payload folder, in normal form C."""
+    p = F.regexp_replace(F.trim(F.translate(col(path), "\\", "/")), r"^/", "")
     mark = F.concat(F.lit("/"), F.lower(col(snapshot_id)), F.lit("/"))
-    at = F.position(mark, F.lower(p))
-    p = F.when(at > 0, F.substr(p, at + F.length(mark))).otherwise(p)
+    at = F.position(mark, F.lower(F.concat(F.lit("/"), p)))  # the folder may come first
+    p = F.when(at > 0, F.substr(F.concat(F.lit("/"), p), at + F.length(mark))).otherwise(p)
     return nfc(F.regexp_replace(p, r"(?i)^snapshots/", ""))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Upper ends of the size bins, exclusive; the last bin has none.
+#: Upper ends of the size bins, exclusive (fixed values); the last bin has none.
 SIZE_BINS = (64 << 10, 256 << 10, 1 << 20, 4 << 20, 16 << 20)
 
 
@@ -60,4 +60,4 @@ def humanize(size: Column | str) -> Column:
 def note_append(old: Column | str, more: Column | str) -> Column:
     """``more`` after ``old``, on a new line."""
     old, more = col(old), col(more)
-    return F.when(F.coalesce(old, F.lit("")) == "", more).when(old.endswith("\n"), F.concat(old, more)).otherwise(F.concat(old, F.lit("\n"), more))
+    return F.when(F.coalesce(old, F.lit("")) == "", more).when(old.endswith("\n") | old.endswith("\r"), F.concat(old, more)).otherwise(F.concat(old, F.lit("\n"), more))

@@ -24,7 +24,8 @@ def tick_time(column: str):
 def probe(files: DataFrame, cache: DataFrame, stored: DataFrame) -> DataFrame:
     """``files`` (path, size, mtime_ticks) with hit and the cached chunk_hashes, file_hash and snapshot_file_hash of hits.
 
-    A hit has a row of equal size and time with chunks, each not blank and stored. Empty files have none, so they never hit.
+    A hit has a row of equal size and time with chunks, each not blank and stored. Empty files have none, so they never hit,
+    nor does a file whose time is not known: an edit may keep the size.
     """
     gone = missing_chunks(cache, stored, ["path"]).withColumn("gone", F.lit(True))
     rows = cache.select("path", F.col("size").alias("c_size"), F.col("mtime_ticks").alias("c_time"), "file_hash", "snapshot_file_hash", "chunk_hashes")

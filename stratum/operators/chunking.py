@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.functions.codec import LEVEL
 from stratum.functions.hashing import sha256
+from stratum.schema import PACKED
 
 #: What one read of a file returns at most; cuts by the rolling hash fall only at the ends of reads.
 READ_SIZE = 1 << 20
@@ -113,3 +118,67 @@ def fixed_chunks(files: DataFrame, block: int, keys: tuple[str, ...] = ("path",)
 
 def with_hashes(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("hash", sha256("data"))
+
+
+def pieces_of(full: str, average: int, least: int, most: int) -> Iterator[bytes]:
+    """A file's chunks, holding little more than one at a time: bytes are read up to a full chunk and cut, the rest is kept."""
+    at, held = 0, b""
+    with open(full, "rb") as f:
+        while True:
+            while len(held) < most + READ_SIZE and (data := f.read(READ_SIZE)):
+                held += data
+            if not held:
+                return
+            n = cuts(held, average, least, most, READ_SIZE, at % READ_SIZE)[0]
+            yield held[:n]
+            at, held = at + n, held[n:]
+
+
+def packed(files: DataFrame, average: int, least: int, most: int, root: str | None = None) -> DataFrame:
+    """In one read of each file its chunks, hashed and compressed, and then a row about the file; an empty file has that alone.
+
+    files: (path, bytes, mtime_ticks), and content, or with ``root`` to be read below it, however large, a chunk at a time.
+    A chunk's row has idx, hash, raw_len, stored_len and data; the file's has bytes, mtime_ticks, file_hash (of its bytes) and
+    snapshot_file_hash (of its path, size and bytes). A file that no longer has the listed size is an error.
+    """
+    check_sizes(average, least, most)
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    schema = pa.schema(list(zip(names, kinds, strict=True)))
+
+    def parts(data: bytes) -> Iterator[bytes]:
+        at = 0
+        for n in cuts(data, average, least, most):
+            yield data[at : at + n]
+            at += n
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        press = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                path, size, ticks = (batch.column(c)[k].as_py() for c in range(3))
+                found = parts(batch.column(3)[k].as_py() or b"") if root is None else pieces_of(os.path.join(root, path), average, least, most)
+                own, whole, n = hashlib.sha256(), hashlib.sha256(f"{path}\n{size}\n".encode("utf-8", "surrogateescape")), 0
+                for idx, data in enumerate(found):
+                    own.update(data)
+                    whole.update(data)
+                    n += len(data)
+                    small = press.compress(data)
+                    yield path, idx, hashlib.sha256(data).hexdigest().upper(), len(data), len(small), small, None, None, None, None
+                if n != size:
+                    raise RuntimeError(f"{path} changed while it was read: {size} bytes listed, {n} read")
+                yield path, None, None, None, None, None, size, ticks, own.hexdigest().upper(), whole.hexdigest().upper()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in rows(batches):
+            held.append(row)
+            size += len(row[5] or b"")
+            if size >= 16 << 20 or len(held) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], schema=schema)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], schema=schema)
+
+    columns = ["path", "bytes", "mtime_ticks"] + ["content"] * (root is None)
+    return files.select(*columns).mapInArrow(pack, PACKED)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -55,8 +56,14 @@ class Options:
 def records(a: str, b: str) -> list[tuple[str, str, int, int]]:
     """(mark, line, line number in a, in b): a side-by-side comparison read from top to bottom, changed lines in pairs."""
     x, y = a.split("\n"), b.split("\n")
+    n = min(len(x), len(y))
+    head = next((k for k in range(n) if x[k] != y[k]), n)  # most edits are small: only what lies between is matched
+    tail = next((k for k in range(n - head) if x[-1 - k] != y[-1 - k]), n - head)
+    u, v = len(x) - tail, len(y) - tail
+    inner = difflib.SequenceMatcher(None, x[head:u], y[head:v], autojunk=False).get_opcodes()
+    steps = [("equal", 0, head, 0, head), *((t, *(head + k for k in at)) for t, *at in inner), ("equal", u, len(x), v, len(y))]
     out, i, j = [], 1, 1
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+    for tag, i1, i2, j1, j2 in steps:
         for k in range(max(i2 - i1, j2 - j1)):
             if tag == "equal":
                 out.append((" ", x[i1 + k], i, j))
@@ -102,43 +109,37 @@ def unified(a: str | None, b: str | None, path_a: str, path_b: str, context: int
     return render(hunks(records(a or "", b or ""), context), path_a, path_b)
 
 
-def carets(text: str) -> list[str]:
-    """A unified diff shown line by line: the old and the new line, and marks below what differs."""
-    out, minus, plus, a, b = [], [], [], 0, 0
-
-    def flush():
-        for k in range(max(len(minus), len(plus))):
-            old, new = (x[k] if k < len(x) else None for x in (minus, plus))
-            (na, ta), (nb, tb) = old or (new[0], ""), new or (old[0], "")
-            pre = next((k for k, (p, q) in enumerate(zip(ta, tb, strict=False)) if p != q), min(len(ta), len(tb)))
-            post = next((k for k, (p, q) in enumerate(zip(ta[pre:][::-1], tb[pre:][::-1], strict=False)) if p != q), min(len(ta), len(tb)) - pre)
-            out.extend([f"L{na}-", ta, f"L{nb}+", tb, " " * pre + "^" * max(1, len(tb or ta) - pre - post)])
-        minus.clear()
-        plus.clear()
-
-    for line in normalize(text).split("\n"):
-        if line.startswith("@@ "):
-            flush()
-            a, b = (int(x[1:].split(",")[0]) for x in line.split()[1:3])
-        elif not line or line.startswith(("--- ", "+++ ")):
-            continue
-        elif line[0] == "-":
-            minus.append((a, line[1:]))
-            a += 1
-        elif line[0] == "+":
-            plus.append((b, line[1:]))
-            b += 1
-        else:
-            flush()
-            a, b = a + 1, b + 1
-    flush()
+def changed_runs(hunk: dict) -> Iterator[tuple[list[tuple[int, str]], list[tuple[int, str]]]]:
+    """The hunk's runs of changed lines: (number, line) of those that went and of those that came."""
+    at = {"-": hunk["a_start"], "+": hunk["b_start"]}
+    for same, run in groupby(hunk["lines"], key=lambda x: x[0] == " "):
+        sides: dict[str, list[tuple[int, str]]] = {"-": [], "+": []}
+        for line in run:
+            for mark in "-+" if same else line[0]:
+                sides[mark].append((at[mark], line[1:]))
+                at[mark] += 1
+        if not same:
+            yield sides["-"], sides["+"]
+
+
+def marks(old: str, new: str) -> str:
+    """Carets below the part of a line that is not common to both at either end, at least one."""
+    n = min(len(old), len(new))
+    head = next((k for k in range(n) if old[k] != new[k]), n)
+    tail = next((k for k in range(n - head) if old[-1 - k] != new[-1 - k]), n - head)
+    return " " * head + "^" * max(1, len(new or old) - head - tail)
+
+
+def carets(hunks: list[dict]) -> list[str]:
+    """Hunks shown line by line: the old and the new line, each under its number, and marks below what differs."""
+    out = []
+    for went, came in (run for h in hunks for run in changed_runs(h)):
+        for old, new in zip_longest(went, came):
+            (na, a), (nb, b) = old or (new[0], ""), new or (old[0], "")
+            out += [f"L{na}-", a, f"L{nb}+", b, marks(a, b)]
     return out
 
 
-def normalize(text: str) -> str:
-    return text.replace("\r\n", "\n").replace("\r", "\n")
-
-
 def text_diff(changes: DataFrame, contents_a: DataFrame, contents_b: DataFrame, options: Options = Options(), include: str | None = None, exclude: str | None = None) -> DataFrame:
     """(kind, path_a, path_b, unified, hunks, added, removed) for changed text files, in the order of path_b.
 

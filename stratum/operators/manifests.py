@@ -55,34 +55,28 @@ def picked_folders(files: DataFrame, keys: list[str]) -> DataFrame:
     return ancestor_rows(files, keys)
 
 
-def rebuild(files: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, path, bytes, content) of manifest files from stored chunks (hash, data).
+def pieces(files: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, idx, data) of manifest files from stored chunks (hash, data); an empty file is one row without data.
 
-    A chunk that is not stored is an error, as is a path that leaves its root. The chunks of one file meet in one task.
+    A chunk that is not stored is an error, as is a path that leaves its root.
     """
     ok = F.when(safe("path"), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("unsafe path "), F.col("path"))))
     files = sound(files).withColumn("path", ok)
     refs = explode(files.where("bytes > 0"), keys).withColumn("hash", F.upper("hash"))
     found = refs.join(stored.select("hash", "data"), "hash", "left")
     data = F.when(F.col("data").isNull(), F.raise_error(F.concat(F.lit("missing chunk "), F.col("hash")))).otherwise(F.col("data"))
-    found = found.select(*keys, "path", "idx", data.cast("binary").alias("data"))
+    empty = files.where("bytes = 0").select(*keys, "path", F.lit(0).alias("idx"), F.lit(None).cast("binary").alias("data"))
+    return found.select(*keys, "path", "idx", data.cast("binary").alias("data")).unionByName(empty)
+
+
+def rebuild(files: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, bytes, content) of manifest files from stored chunks (hash, data); the chunks of one file meet in one task."""
 
     def whole(group: pa.Table) -> pa.Table:
         group = group.sort_by("idx")
-        content = b"".join(x.as_py() for x in group["data"])
+        content = b"".join(x.as_py() or b"" for x in group["data"])
         return pa.table({**{k: group[k][:1] for k in (*keys, "path")}, "bytes": pa.array([len(content)], pa.int64()), "content": pa.array([content], pa.binary())})
 
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.select(*keys, "path").schema) + ", bytes long, content binary"
-    full = found.groupBy(*keys, "path").applyInArrow(whole, out)
-    empty = files.where("bytes = 0").select(*keys, "path", F.lit(0).cast("long").alias("bytes"), F.lit(b"").alias("content"))
-    return full.unionByName(empty)
-
-
-def rebuild_small(files: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """The same by expressions alone, in hexadecimal; for files of a few megabytes."""
-    files = sound(files)
-    refs = explode(files, keys).withColumn("hash", F.upper("hash")).join(stored.select("hash", F.hex("data").alias("x")), "hash", "left")
-    hexed = F.when(F.col("x").isNull(), F.raise_error(F.concat(F.lit("missing chunk "), F.col("hash")))).otherwise(F.col("x"))
-    joined = refs.withColumn("x", hexed.cast("string")).groupBy(*keys, "path").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("x"))
-    joined = joined.select(*keys, "path", F.unhex(F.array_join(F.transform("x", lambda c: c["x"]), "")).alias("content"))
-    return files.select(*keys, "path", "bytes").join(joined, [*keys, "path"], "left").withColumn("content", F.coalesce("content", F.lit(b"")))
+    found = pieces(files, stored, keys)
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.select(*keys, "path").schema) + ", bytes long, content binary"
+    return found.groupBy(*keys, "path").applyInArrow(whole, out)

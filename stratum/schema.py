@@ -9,6 +9,9 @@ PAYLOAD_FILES = "space STRING, snapshot_id STRING, path STRING, bytes BIGINT, co
 PAYLOAD_DIRS = "space STRING, snapshot_id STRING, path STRING"
 FILE_META = "space STRING, path STRING, size BIGINT, mtime_ticks BIGINT, file_hash STRING, snapshot_file_hash STRING, chunk_hashes ARRAY<STRING>, updated_at_ticks BIGINT"
 SPACES = "space STRING"
+#: Written aside while a snapshot is made, so that a file is looked at and read once; no commit holds them.
+PLAN = "path STRING, size BIGINT, mtime_ticks BIGINT, hit BOOLEAN, file_hash STRING, snapshot_file_hash STRING, chunk_hashes ARRAY<STRING>"
+PACKED = "path STRING, idx INT, hash STRING, raw_len BIGINT, stored_len BIGINT, data BINARY, bytes BIGINT, mtime_ticks BIGINT, file_hash STRING, snapshot_file_hash STRING"
 
 TABLES = {
     "snapshots": SNAPSHOTS,
@@ -20,6 +23,8 @@ TABLES = {
     "payload_dirs": PAYLOAD_DIRS,
     "file_meta": FILE_META,
     "spaces": SPACES,
+    "plan": PLAN,
+    "packed": PACKED,
 }
 
 #: Manifest versions: the one that is written, and the prefix that any reader must know.

@@ -67,30 +67,41 @@ def to_json(heads: DataFrame, files: DataFrame, folders: DataFrame) -> DataFrame
 def inventory(found: DataFrame) -> DataFrame:
     """(file, path, length, fingerprint, ordinal) from documents (file, text) of unknown layout.
 
-    The first array, at most two levels down, whose objects all have a path-like and a size-like field; a negative or
-    missing size rejects it. Documents without one give nothing.
+    The array named Files (in any case) at the top if there is one, else the document itself, else the first array one or two levels down,
+    whose elements all are objects with a path-like and a size-like field, an empty one too; a negative or missing size rejects
+    an array. Documents without one give nothing.
     """
 
-    def entries(x) -> list[tuple] | None:
-        if not isinstance(x, list) or not x:
-            return None
+    def text_of(e: dict, names: tuple[str, ...]) -> str | None:
+        for kinds in (str, (int, float)):
+            for n in names:
+                if isinstance(x := e.get(n), kinds) and not isinstance(x, bool):
+                    return str(x)
+        return None
+
+    def number_of(e: dict) -> int | None:
+        whole = lambda x: isinstance(x, int) and not isinstance(x, bool) or isinstance(x, str) and re.fullmatch(r"\s*[+-]?\d+\s*", x)
+        return next((int(e[n]) for n in SIZE_NAMES if whole(e.get(n))), None)
+
+    def entries(x: list) -> list[tuple] | None:
         out = []
         for e in x:
-            if not isinstance(e, dict):
+            path, size = (text_of(e, PATH_NAMES), number_of(e)) if isinstance(e, dict) else (None, None)
+            if not path or size is None or size < 0:
                 return None
-            path = next((e[n] for n in PATH_NAMES if isinstance(e.get(n), str) and e[n].strip()), None)
-            size = next((e[n] for n in SIZE_NAMES if isinstance(e.get(n), int) and not isinstance(e[n], bool) or isinstance(e.get(n), str) and e[n].isdigit()), None)
-            if path is None or size is None or int(size) < 0:
-                return None
-            out.append((path, int(size), next((e[n] for n in PRINT_NAMES if isinstance(e.get(n), str)), None)))
+            out.append((path, size, text_of(e, PRINT_NAMES) or None))
         return out
 
-    def find(x, depth: int = 2) -> list[tuple] | None:
-        own = entries(x)
-        if own is not None or depth < 0:
-            return own
-        inner = x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
-        return next((r for y in inner if isinstance(y, dict | list) and (r := find(y, depth - 1)) is not None), None)
+    def find(x) -> list[tuple] | None:
+        if isinstance(x, list):
+            return entries(x)
+        if not isinstance(x, dict):
+            return None
+        for name, y in x.items():
+            if name.lower() == "files" and isinstance(y, list):
+                return entries(y)
+        inner = [z for y in x.values() for z in ([y] if isinstance(y, list) else y.values() if isinstance(y, dict) else ()) if isinstance(z, list)]
+        return next((r for y in inner if (r := entries(y)) is not None), None)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

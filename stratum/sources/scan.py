@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from stratum.functions.globs import Ignore
 from stratum.operators.cache import ticks
-from stratum.operators.chunking import READ_SIZE, check_sizes, cuts
+from stratum.operators.chunking import check_sizes, pieces_of
 
 if TYPE_CHECKING:
     from pyspark.sql.types import StructType
@@ -110,7 +110,7 @@ class FileTreeReader(DataSourceReader):
         for path in partition.paths:
             full = os.path.join(self.root, path)
             if self.sizes:
-                yield from chunks_of(full, path, *self.sizes)
+                yield from ((path, k, len(data), data) for k, data in enumerate(pieces_of(full, *self.sizes)))
                 continue
             stat = os.stat(full)
             data = None
@@ -122,20 +122,6 @@ class FileTreeReader(DataSourceReader):
             yield path, stat.st_size if data is None else len(data), ticks(stat.st_mtime_ns / 1e9), data
 
 
-def chunks_of(full: str, path: str, average: int, least: int, most: int) -> Iterator[tuple]:
-    """A file's chunks, holding little more than one at a time: bytes are read up to a full chunk and cut, the rest is kept."""
-    idx, at, held = 0, 0, b""
-    with open(full, "rb") as f:
-        while True:
-            while len(held) < most + READ_SIZE and (data := f.read(READ_SIZE)):
-                held += data
-            if not held:
-                return
-            n = cuts(held, average, least, most, READ_SIZE, at % READ_SIZE)[0]
-            yield path, idx, n, held[:n]
-            idx, at, held = idx + 1, at + n, held[n:]
-
-
 def scan(spark: SparkSession, root: str, ignore: Ignore | None = None, content: bool = True, chunks: tuple[int, int, int] | None = None) -> DataFrame:
     """(path, bytes, mtime_ticks, content) of the tree, or (path, idx, raw_len, data) with ``chunks`` sizes."""
     spark.dataSource.register(FileTree)
@@ -150,8 +136,8 @@ def folders(spark: SparkSession, root: str, ignore: Ignore | None = None) -> Dat
 
 
 def file_list(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """(path) of the absolute names below ``root``, case ignored in the comparison; others are left out."""
-    top = root.rstrip("/") + "/"
+    """(path) of the absolute names below ``root``, case ignored in the comparison; others are left out. An empty root: names as they are."""
+    top = root.rstrip("/") + "/" if root else ""
     df = spark.createDataFrame([(n,) for n in names], "name string").where(F.lower("name").startswith(top.lower()))
     return df.select(F.substr("name", F.lit(len(top) + 1)).alias("path")).orderBy("path")
 

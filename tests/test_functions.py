@@ -96,6 +96,22 @@ def test_selectors(spark):
         ids.resolve(df, "2024", "diff")
 
 
+def test_created_times(spark):
+    none = datetime(2020, 5, 6)
+    want = {
+        "20240101T000000Z_x": datetime(2024, 1, 1), "20240101T000000Z": none, "backup_20240203": datetime(2024, 2, 3), "a_b_20240203": none, "20241301T000000Z_x": none,
+        "20240229T235959Z_a": datetime(2024, 2, 29, 23, 59, 59), "_20230101": datetime(2023, 1, 1), "x_20230230": none, "": none,
+    }
+    df = frame(spark, [(i,) for i in want], "id string")
+    assert {r[0]: r[1] for r in df.select("id", ids.created_utc("id", F.to_timestamp(F.lit("2020-05-06")))).collect()} == want
+
+
+def test_canonical_paths(spark):
+    want = {"20240101T000000Z_a": "20240101T000000Z_a", " /x/20240101t000000z_A/snapshots/a/b.txt": "a/b.txt", "snapshots/c.txt": "c.txt", "/d.txt": "d.txt", "Snapshots/e/e\u0301.txt": "e/\u00e9.txt", "x/20240101T000000Z_ab/f": "x/20240101T000000Z_ab/f", "20240101T000000Z_a/g": "g", "a\\b": "a/b", "//g": "/g"}
+    df = frame(spark, [(i,) for i in want], "raw string")
+    assert {r[0]: r[1] for r in df.select("raw", paths.canonical("raw", F.lit("20240101T000000Z_a"))).collect()} == want
+
+
 def test_spaces_and_specs(spark):
     assert ids.effective_space(None, " ", "x") == "x" and ids.effective_space() == "main"
     assert ids.source_spec("a:@1", "main") == ("a", "@1") and ids.source_spec("@1", "main") == ("main", "@1")
@@ -128,8 +144,8 @@ def test_binary_sniff(spark):
 
 
 def test_notes_and_lines(spark):
-    df = frame(spark, [("a", "b"), ("a\n", "b"), ("", "b"), (None, "b")], "o string, m string")
-    assert [r[0] for r in df.select(texts.note_append("o", "m")).collect()] == ["a\nb", "a\nb", "b", "b"]
+    df = frame(spark, [("a", "b"), ("a\n", "b"), ("a\r", "b"), ("", "b"), (None, "b")], "o string, m string")
+    assert [r[0] for r in df.select(texts.note_append("o", "m")).collect()] == ["a\nb", "a\nb", "a\rb", "b", "b"]
     line = frame(spark, [("a \r\nb\t\rc",)], "t string")
     assert line.select(texts.normalize_lines("t", True)).first()[0] == "a\nb\nc" and line.select(texts.to_crlf("t")).first()[0] == "a \r\nb\t\r\nc"
 
@@ -147,6 +163,9 @@ def test_inventories_of_any_layout(spark):
     df = frame(spark, [(str(i), d) for i, d in enumerate(docs)], "file string, text string")
     got = {(r["file"], r["path"], r["length"], r["fingerprint"]) for r in manifest_json.inventory(df).collect()}
     assert got == {("0", "a", 1, "h"), ("0", "b", 2, None), ("1", "c", 3, None), ("4", "d", 4, None)}
+    docs = ['{"other":[{"name":"x","size":1}],"files":[{"name":"y","size":2}]}', '{"Files":[{"name":"x"}],"other":[{"name":"z","size":3}]}', '{"a":[],"b":[{"name":"x","size":1}]}', '{"a":[1],"b":[{"name":7,"size":" 5 "}]}', '{"a":{"b":{"c":[{"name":"x","size":1}]}}}']
+    df = frame(spark, [(str(i), d) for i, d in enumerate(docs)], "file string, text string")
+    assert {(r["file"], r["path"], r["length"]) for r in manifest_json.inventory(df).collect()} == {("0", "y", 2), ("3", "7", 5)}
 
 
 def test_every_id_is_new():

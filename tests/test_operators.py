@@ -5,6 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from stratum.functions import hashing
+from stratum.functions.globs import path_glob
 from stratum.operators import cache, cas, chunking, diffs, manifests, retention, trees, verify
 
 M64 = (1 << 64) - 1
@@ -71,8 +73,7 @@ def test_rebuild_gives_back_what_was_cut(spark):
     contents = {"a": b"hello world", "b/c": b"", "d": b"aaaaaaaaaaaa", "e": bytes(range(256))}
     _, chunks, manifest = chunked(spark, contents)
     stored = chunks.dropDuplicates(["hash"])
-    for rebuild in (manifests.rebuild, manifests.rebuild_small):
-        assert {r["path"]: bytes(r["content"]) for r in rebuild(manifest, stored, []).collect()} == contents
+    assert {r["path"]: bytes(r["content"]) for r in manifests.rebuild(manifest, stored, []).collect()} == contents
     counts = {r["hash"]: r["n"] for r in cas.refcount(manifest).collect()}
     assert sum(counts.values()) == chunks.count() and max(counts.values()) == 3
     assert cas.put_if_absent(chunks, stored).count() == 0
@@ -159,8 +160,29 @@ def test_text_diff(spark):
     rows = diffs.text_diff(diffs.diff(*sides, by_content=True), a, b).collect()
     assert [(r["kind"], r["path_a"], r["path_b"], r["added"], r["removed"]) for r in rows] == [("Removed", "gone", None, 1, 1), ("Added", None, "new", 1, 1), ("Modified", "x", "x", 1, 1)]
     assert rows[2]["unified"] == "--- x\n+++ x\n@@ -1,3 +1,3 @@\n one\n-two\n+2\n three"
-    assert diffs.carets(rows[2]["unified"]) == ["L2-", "two", "L2+", "2", "^"]
-    assert diffs.carets("@@ -5,1 +5,1 @@\n-abcXdef\n+abcYYdef") == ["L5-", "abcXdef", "L5+", "abcYYdef", "   ^^"]
+    assert diffs.carets([h.asDict() for h in rows[2]["hunks"]]) == ["L2-", "two", "L2+", "2", "^"]
+    globs = [[r["path_b"] or r["path_a"] for r in diffs.text_diff(diffs.diff(*sides, by_content=True), a, b, include=path_glob(g)).collect()] for g in ("*", "n*", "**/x", "y/**")]
+    assert globs == [["gone", "new", "x"], ["new"], ["x"], []]
+
+
+def test_carets_are_by_hunk():
+    hunk = lambda a, b, *lines: {"a_start": a, "b_start": b, "lines": list(lines)}
+    assert diffs.carets([hunk(5, 5, "-abcXdef", "+abcYYdef")]) == ["L5-", "abcXdef", "L5+", "abcYYdef", "   ^^"]
+    assert diffs.carets([hunk(1, 1, " a", "--- x", "-y", "+++ z", " b", "-c"), hunk(9, 7, "+", "+d")]) == ["L2-", "-- x", "L2+", "++ z", "^^^^", "L3-", "y", "L3+", "", "^", "L5-", "c", "L5+", "", "^", "L7-", "", "L7+", "", "^", "L8-", "", "L8+", "d", "^"]
+    assert diffs.marks("abab", "ab") == "  ^" and diffs.marks("same", "same") == "    ^"
+
+
+def test_digests_stream_in_path_order(spark):
+    import hashlib
+
+    rows = [(s, f"p{(k * 37) % 100:03d}é", k) for s in "ab" for k in range(100)]
+    df = spark.createDataFrame([(s, p, n, bytearray(p.encode() * n)) for s, p, n in rows], "space string, path string, bytes long, content binary").repartition(7)
+    want = {s: hashlib.sha256(b"".join(p.encode() * n for t, p, n in sorted(rows) if t == s)).hexdigest().upper() for s in "ab"}
+    assert {r["space"]: r["content_sha256"] for r in hashing.content_concat_hash(df, ["space"]).collect()} == want
+    pieces = df.select("space", "path", F.posexplode(F.array(F.col("content"), F.lit(b"."))).alias("idx", "data"))
+    assert hashing.content_concat_hash(pieces, ["space"]).count() == 2
+    row = hashing.snapshot_hashes(df.limit(0), []).first()
+    assert (row["snapshot_hash"], row["file_count"], row["total_bytes"]) == (hashing.EMPTY_SHA256, 0, 0) and hashing.snapshot_hashes(df.limit(0), ["space"]).count() == 0
 
 
 def test_merges(spark):

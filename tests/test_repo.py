@@ -7,6 +7,7 @@ import pytest
 from stratum import cli
 from stratum.functions.globs import Ignore
 from stratum.repo import Repo
+from stratum.sources import files as out_files
 from stratum.sources import manifest_json
 from stratum.sources.scan import scan, walk
 from stratum.sources.store import Conflict, Store
@@ -107,10 +108,186 @@ def test_commands_on_history(repo, tmp_path):
     assert dry["snapshots"] == 3 and dry["deletable"] == dry["examined"] and repo.snapshots().count() == 4
     assert repo.tidy(keep=1).first() == dry and repo.store.read("chunks").count() == 0 and repo.snapshots().count() == 1
     repo.clock.now += timedelta(days=60)
-    assert repo.cache_meta_gc().first()["deleted"] == 6
+    assert repo.cache_meta_gc().first()["deleted"] == 5
     assert repo.store.vacuum() > 0 and {r["status"] for r in repo.verify().collect()} == {"OK"}
 
 
+def contents(repo, snapshot_id):
+    return {r["path"]: bytes(r["content"]) for r in repo.payload("main", snapshot_id).collect()}
+
+
+def table(spark, files):
+    return spark.createDataFrame([(p, bytearray(c)) for p, c in files.items()], "path string, content binary")
+
+
+@pytest.mark.parametrize("kind", ["folder", "table"])
+def test_edits_that_keep_the_size_are_kept(repo, tmp_path, kind):
+    """In compact, in compact saves and in compact-full: what was saved is what comes back."""
+    states = [{"a.txt": b"AAAA", "b": b"same"}, {"a.txt": b"BBBB", "b": b"same"}, {"a.txt": b"CCCC", "b": b"same"}]
+    found = []
+    for k, files in enumerate(states):
+        source = table(repo.spark, files) if kind == "table" else write(tmp_path / "w", files)
+        if kind == "folder":  # a time of its own, as edits have
+            os.utime(tmp_path / "w" / "a.txt", (1000 + k, 1000 + k))
+        found += [(repo.save(source), files), (repo.save(source, mode="compact"), files)]
+    assert {r["status"] for r in repo.compact(keep=0).collect()} == {"OK", "SKIPPED"}
+    repo.store.vacuum()
+    assert repo.store.read("payload_files").count() == 0
+    for snapshot_id, files in found:
+        assert contents(repo, snapshot_id) == files
+    assert {r["status"] for r in repo.verify(policy="temp").collect()} == {"OK"}
+
+
+def test_compact_full_sees_what_size_and_time_hide(repo, tmp_path):
+    root = write(tmp_path / "w", {"a": b"AAAA"})
+    os.utime(tmp_path / "w" / "a", (1000, 1000))
+    repo.save(root, mode="compact")
+    write(root, {"a": b"BBBB"})
+    os.utime(tmp_path / "w" / "a", (1000, 1000))
+    assert contents(repo, repo.save(root, mode="compact")) == {"a": b"AAAA"}
+    assert contents(repo, repo.save(root, mode="compact-full")) == {"a": b"BBBB"}
+    assert contents(repo, repo.save(root, mode="compact")) == {"a": b"BBBB"}
+    with pytest.raises(ValueError):
+        repo.save(root, mode="other")
+
+
+def test_files_above_what_a_cell_holds(repo, tmp_path):
+    root, size = write(tmp_path / "w", {"small": b"s", "empty": b""}), (1 << 30) + (3 << 20) + 5
+    with open(os.path.join(root, "sparse"), "wb") as f:
+        f.truncate(size)
+        f.seek(12345)
+        f.write(b"here")
+    with pytest.raises(Exception, match="too large"):
+        repo.save(root)
+    repo.save(root, mode="compact")
+    row = repo.snapshots().first()
+    assert row["file_count"] == 3 and row["total_bytes"] == size + 1
+    listed = {r["path"]: r for r in repo.store.read("manifest_files").collect()}
+    lengths = {r["hash"]: r["raw_len"] for r in repo.store.read("chunks").select("hash", "raw_len").collect()}
+    assert sum(lengths[h] for h in listed["sparse"]["chunk_hashes"]) == size and len(lengths) < 10 and not listed["empty"]["chunk_hashes"]
+
+
+def test_files_are_written_in_pieces(repo, tmp_path, monkeypatch):
+    files = {"big/file": bytes(range(256)) * 4000, "empty": b"", "x/y/z": b"z"}
+    root = write(tmp_path / "w", files)
+    saved = repo.save(root, mode="compact", sizes=(1024, 256, 4096))
+    out = write(tmp_path / "out", {"x": b"a file in the way", "empty/folder": b"and a folder"})
+    os.symlink(str(tmp_path / "w"), os.path.join(out, "big"))
+    assert repo.restore(saved, out) == 3 and read(out) == files and read(root) == files
+    with pytest.raises(ValueError, match="leads out"):
+        out_files.inside(out, "../x")
+
+
+def test_each_file_is_opened_once(spark, tmp_path):
+    from stratum.operators import chunking
+
+    root = write(tmp_path / "w", {f"f{k}": bytes([k]) * 5000 for k in range(5)})
+    opened = tmp_path / "opened"
+    real = chunking.pieces_of
+
+    def counted(full, *sizes):
+        with open(opened, "a") as f:
+            f.write(os.path.basename(full) + "\n")
+        yield from real(full, *sizes)
+
+    listing = scan(spark, root, content=False).coalesce(1)
+    rows = list(listing.toLocalIterator())
+    chunking.pieces_of, old = counted, real
+    try:
+        df = chunking.packed(listing, 1024, 256, 4096, root=root)
+        store = Store(spark, str(tmp_path / "s"))
+        store.create()
+        got = store.load("packed", [store.stage("packed", df)])
+        assert got.where("idx IS NULL").count() == 5 and got.where("idx IS NOT NULL").count() > 5 and len(rows) == 5
+    finally:
+        chunking.pieces_of = old
+    write(root, {"f0": b"shorter"})
+    with pytest.raises(Exception, match="changed while it was read"):
+        chunking.packed(spark.createDataFrame([("f0", 5000, 1)], "path string, bytes long, mtime_ticks long"), 1024, 256, 4096, root=root).collect()
+
+
+def test_the_ignore_file_counts(repo, tmp_path):
+    root = write(tmp_path / "w", {"a": b"1", "b.log": b"2", "own/x": b"3", "cache/y": b"4", "k.bak": b"5"})
+    assert set(contents(repo, repo.save(root))) == {"a", "own/x", "k.bak"}
+    repo.store.write_text("ignore.json", '{"excludeFiles": ["*.bak",], "EXCLUDEDIRS": ["own/"] // mine\n}')
+    assert set(contents(repo, repo.save(root, mode="compact"))) == {"a", "cache/y"}
+    repo.store.write_text("ignore.json", "broken")
+    assert set(contents(repo, repo.save(root))) == {"a", "own/x", "cache/y", "k.bak"}
+    names = [os.path.join(root, "a"), "/elsewhere/b", os.path.join(root, "own/x")]
+    assert set(contents(repo, repo.save(root, only=names, mode="compact"))) == {"a", "own/x"}
+
+
+def test_manifest_hash_of_the_content(repo):
+    import hashlib
+
+    files = {"b": b"two", "a": b"one", "c": b""}
+    found = repo.save(table(repo.spark, files), mode="compact", manifest_hash="content")
+    again = repo.save(table(repo.spark, files), mode="compact")
+    heads = {r["snapshot_id"]: r["original_sha256"] for r in repo.store.read("manifest_head").collect()}
+    assert heads[found] == hashlib.sha256(b"onetwo").hexdigest().upper() != heads[again]
+
+
+def test_hydrate_modes(repo, tmp_path):
+    small = repo.save(table(repo.spark, {"a": b"1"}), mode="compact")
+    with pytest.raises(LookupError, match="no payload"):
+        repo.restore(small, str(tmp_path / "o"), hydrate=None)
+    with pytest.raises(LookupError):
+        repo.recompose(["@0"], hydrate=None)
+    with pytest.raises(ValueError):
+        repo.restore(small, str(tmp_path / "o"), hydrate="other")
+    assert repo.restore(small, str(tmp_path / "o")) == 1 and not repo.snapshots().first()["has_payload"]
+    assert repo.restore(small, str(tmp_path / "o"), hydrate="persist") == 1 and repo.snapshots().first()["has_payload"]
+
+
+def test_notes(repo):
+    saved = repo.save(table(repo.spark, {"a": b"1"}), message="m")
+    assert [tuple(r) for r in repo.notes().collect()] == [(saved, "m")]
+    with pytest.raises(FileExistsError):
+        repo.note("@0", write="x")
+    assert repo.note("@0", delete=True) is None and repo.notes().count() == 0
+    assert repo.note("@0", ensure=True) == "" and repo.note("@0", append="x") == "x" and repo.note("@0", ensure=True) == "x"
+    assert repo.note("@0", delete=True) is None and repo.note("@0", write="new") == "new"
+    with pytest.raises(ValueError):
+        repo.note("@0", clear=True, ensure=True)
+
+
+def test_inventories_are_canonical(repo, tmp_path):
+    found = repo.save(table(repo.spark, {"snapshots/e\u0301.txt": b"1", "note.md": b"2", "x": b"3"}), mode="compact")
+    assert {r["path"] for r in repo.inventory("main", found).collect()} == {"\u00e9.txt", "x"}
+    write(tmp_path / "inv", {"i.json": ('{"files": [{"path": "/base/%s/a", "size": 3}, {"name": "a", "size": 9, "sha256": "h"}, {"rel": "meta.json", "size": 1}]}' % found).replace('"path"', '"Path"').encode()})
+    assert [tuple(r) for r in repo.inventory_json(str(tmp_path / "inv"), found).collect()] == [("a", 9, "h")]
+
+
+def test_only_touched_folders_are_written_anew(repo):
+    for k in range(3):
+        repo.save(table(repo.spark, {"a": b"%d" % k * 100, "b": b"same"}), mode="compact")
+    repo.save(table(repo.spark, {"c": b"full"}))
+    before = repo.store.state()[1]["tables"]
+    newest = repo.store.read("snapshots").where("has_manifest").orderBy("snapshot_id").collect()[-1]["snapshot_id"]
+    assert repo.tidy(match=[newest]).first()["deletable"] == 1
+    after = repo.store.state()[1]["tables"]
+    assert len(set(before["chunks"]) & set(after["chunks"])) == 3 - 1 and set(before["payload_files"]) == set(after["payload_files"])
+    assert {r["status"] for r in repo.verify(policy="temp").collect()} == {"OK"}
+
+
+def test_a_new_column_is_null_in_old_folders(repo):
+    import shutil
+
+    repo.store.stage("snapshots", repo.store.read("snapshots"))
+    folder = f"{repo.store.root}/snapshots/" + "0" * 32
+    repo.spark.createDataFrame([("main", "20200101T000000Z_a")], "space string, snapshot_id string").write.parquet(folder)
+    row = repo.store.load("snapshots", ["snapshots/" + "0" * 32]).first()
+    assert row["snapshot_id"] and row["note"] is None and row["file_count"] is None
+    shutil.rmtree(folder)
+
+
+def test_meta_is_computed_anew(repo):
+    saved = repo.save(table(repo.spark, {"a": b"1"}), hash_mode="none")
+    assert [r["status"] for r in repo.verify().collect()] == ["ERROR"]
+    assert repo.refresh_meta("@0") == repo.snapshots().first()["snapshot_hash"] and saved
+    assert [r["status"] for r in repo.verify().collect()] == ["OK"]
+
+
 def test_spaces(repo, tmp_path):
     repo.space_create("work")
     with pytest.raises(ValueError):
@@ -160,9 +337,13 @@ def test_stream(spark, tmp_path):
 
 def test_command_line(spark, tmp_path, capsys):
     root, at = write(tmp_path / "w", TREE), ["--root", str(tmp_path / "r")]
-    assert cli.main([*at, "save", root]) == 1
-    assert cli.main([*at, "init"]) == 0 and cli.main([*at, "s", root, "-c", "-m", "note"]) == 0
+    assert cli.main([*at, "save", root]) == 3
+    assert cli.main([*at, "init"]) == 0 and cli.main([*at, "save", str(tmp_path / "none"), "--compact", "--compact-full"]) == 2 and cli.main([*at, "s", root, "-c", "-m", "note"]) == 0
     assert cli.main([*at, "hist"]) == 0 and "note" in capsys.readouterr().out
     assert cli.main([*at, "verify", "--policy", "temp"]) == 0 and cli.main([*at, "verify"]) == 1
+    assert cli.main([*at, "note"]) == 0 and cli.main([*at, "note", "--view"]) == 2 and cli.main([*at, "note", "@0"]) == 0 and cli.main([*at, "hist", "--size"]) == 0
+    assert cli.main([*at, "verify", "--show-details", "--policy", "skip"]) == 0 and "skip-missing" in capsys.readouterr().out
+    assert cli.main([*at, "restore", "--to", str(tmp_path / "o")]) == 2 and cli.main([*at, "restore", "--to", str(tmp_path / "o"), "--hydrate=tmp"]) == 0
+    assert cli.main([*at, "tidy", "--keep", "0", "--dry-run"]) == 0 and cli.main([*at, "space", "use", "none"]) == 2
     assert cli.main([*at, "tidy"]) == 2 and cli.main([*at, "pick", "@7", "x", "y"]) == 2 and cli.main([*at, "space", "create"]) == 2
     assert cli.main([*at, "space", "current"]) == 0 and cli.main([*at, "stats"]) == 0
