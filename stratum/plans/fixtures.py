@@ -42,3 +42,11 @@ def snapshots(spark: SparkSession) -> DataFrame:
     """(space, snapshot_id, created_utc) of the history."""
     ids = spark.range(STEPS).select(F.lit("main").alias("space"), snapshot_id("id").alias("snapshot_id"))
     return ids.withColumn("created_utc", F.to_timestamp(F.substring("snapshot_id", 1, 8), "yyyyMMdd"))
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(space, snapshot_id, created_utc, status, price) of a long history: each order a snapshot of its day, each priority a space."""
+    day = F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss'Z'")
+    snapshot_id = F.concat(day, F.lit("_"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    space = F.concat(F.lit("s"), F.substring("o_orderpriority", 1, 1))
+    return table(spark, sf_dir, "orders").select(space.alias("space"), snapshot_id.alias("snapshot_id"), F.col("o_orderdate").cast("timestamp").alias("created_utc"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
