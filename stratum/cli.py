@@ -63,7 +63,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--match")
     c.add_argument("--size", "--bytes", action="store_true")
     c = command("note")
-    c.add_argument("snapshot", nargs="?")
+    c.add_argument("words", nargs="*", metavar="[space] [id]")
     mode = c.add_mutually_exclusive_group()
     mode.add_argument("--view", action="store_true")
     mode.add_argument("--append")
@@ -149,12 +149,13 @@ def run(args: argparse.Namespace, repo: Repo) -> int:
         show(repo.history(args.space, args.take, args.since, args.before, args.match, args.size))
     elif c == "note":
         changes = args.append is not None or args.overwrite is not None or args.clear
-        if args.snapshot is None:
+        space, snapshot = ids.space_and_selector(args.words, args.space)
+        if snapshot is None:
             if changes or args.view:
                 raise ValueError("which snapshot?")
-            show(repo.notes(args.space).select("snapshot_id"))
+            show(repo.notes(space).select("snapshot_id"))
             return 0
-        note = repo.note(args.snapshot, args.space, args.append, args.overwrite, args.clear)
+        note = repo.note(snapshot, space, args.append, args.overwrite, args.clear)
         print("no note" if note is None else note)
         return int(note is None)
     elif c in ("export", "hydrate", "compact"):
@@ -165,7 +166,9 @@ def run(args: argparse.Namespace, repo: Repo) -> int:
         else:
             out = repo.compact(args.space, args.keep, args.latest, args.before, args.full)
         show(out)
-        return int(not out.where("status IN ('ERROR', 'FAILED')").isEmpty())
+        counts = repo.summary(out)
+        print(", ".join(f"{status} {n}" for status, n in counts.items()))
+        return int(any(counts.get(x) for x in ("ERROR", "FAILED")))
     elif c == "restore":
         print(repo.restore(args.id or f"@{args.back}", args.dest, args.space, args.purge, args.hydrate))
     elif c == "pick":

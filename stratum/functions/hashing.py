@@ -75,8 +75,10 @@ def manifest_line(path: Column, size: Column, hashes: Column) -> Column:
     return F.concat(lines, F.when(F.size(hashes) > 0, F.concat(F.array_join(hashes, "\n"), F.lit("\n"))).otherwise(""))
 
 
-def snapshot_hashes(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Per snapshot (``keys``): snapshot_hash, file_count, total_bytes; files: keys, path, bytes, content."""
+def snapshot_hashes(files: DataFrame, keys: list[str], without_meta: bool = False) -> DataFrame:
+    """Per snapshot (``keys``): snapshot_hash, file_count, total_bytes; files: keys, path, bytes, content. ``without_meta`` leaves out files named meta.json in any case, in any folder."""
+    if without_meta:
+        files = files.where(~F.col("path").rlike("(?i)(^|/)meta\\.json$"))
     per_file = files.select(*keys, "path", "bytes", file_digest("path", "bytes", "content").alias("digest"))
     return fold_digests(per_file, keys)
 

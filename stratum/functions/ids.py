@@ -139,9 +139,24 @@ def resolve(snapshots: DataFrame, selector: str, dialect: str = "default") -> st
     return row["snapshot_id"]
 
 
+#: What a word that may be a space or an id is an id by: its beginning, or an underscore anywhere.
+LIKE_ID = "^[@0-9]|_"
+
+
 def looks_like_id(text: Column | str) -> Column:
-    c = F.col(text) if isinstance(text, str) else text
-    return c.rlike("^[@0-9]") | c.contains("_")
+    return (F.col(text) if isinstance(text, str) else text).rlike(LIKE_ID)
+
+
+def space_and_selector(words: list[str], space: str | None = None) -> tuple[str | None, str | None]:
+    """(space, selector) of ``[space] [id]``, either of which may be missing."""
+    own = list(words)
+    if own and not re.search(LIKE_ID, own[0]):
+        space = own.pop(0)
+        if not re.match(SPACE_NAME, space):
+            raise ValueError(f"not a name for a space: {space}")
+    if len(own) > 1:
+        raise ValueError("too many words")
+    return space, own[0] if own else None
 
 
 def source_spec(text: str, space: str) -> tuple[str, str]:

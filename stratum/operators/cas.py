@@ -54,19 +54,20 @@ def size_histogram(chunks: DataFrame, size: str = "raw_len") -> DataFrame:
 def statistics(heads: DataFrame, files: DataFrame, stored: DataFrame) -> DataFrame:
     """One row on manifests of a known version: heads (snapshot_id, version), files (snapshot_id, bytes, chunk_hashes), stored (hash, stored_len).
 
-    Ratios without a denominator are 0.
+    Ratios without a denominator are 0. The files are read once: a file counts with its first reference, or with none if it is empty.
     """
     known = heads.where(known_version("version")).select("snapshot_id").distinct()
-    files = files.join(known, "snapshot_id", "left_semi")
-    counts = refcount(files)
-    unique = counts.join(stored.select("hash", "stored_len"), "hash", "left")
-    a = known.agg(F.count("*").alias("manifests"))
-    b = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("original_bytes"))
-    c = unique.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("chunk_refs"), F.count("*").alias("unique_chunks"), F.count("stored_len").alias("present_chunks"),
-        F.count_if(F.col("stored_len").isNull()).alias("missing_chunks"), F.coalesce(F.sum("stored_len"), F.lit(0)).alias("present_bytes"),
+    refs = files.join(known, "snapshot_id", "left_semi").select("bytes", F.posexplode_outer("chunk_hashes").alias("pos", "hash"))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    valid = F.when(F.col("hash").rlike(VALID_HASH), F.upper("hash"))
+    counts = refs.groupBy(valid.alias("hash")).agg(F.count("*").alias("n"), F.count_if(first).alias("files"), F.sum(F.when(first, F.col("bytes"))).alias("bytes"))
+    own, there = F.col("hash").isNotNull(), F.col("stored_len").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    one = counts.join(stored.select("hash", "stored_len"), "hash", "left").agg(
+        total("files").alias("files"), total("bytes").alias("original_bytes"), total(F.when(own, F.col("n"))).alias("chunk_refs"), F.count_if(own).alias("unique_chunks"),
+        F.count_if(own & there).alias("present_chunks"), F.count_if(own & ~there).alias("missing_chunks"), total("stored_len").alias("present_bytes"),
     )
-    one = a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").join(c.withColumn("k", F.lit(1)), "k").drop("k")  # one row each
+    one = one.select(known.agg(F.count("*")).scalar().alias("manifests"), "*")
     return one.select("*", ratio("chunk_refs", "unique_chunks").alias("dedup_factor"), ratio("original_bytes", "present_bytes").alias("compression_ratio"), ratio("chunk_refs", "files").alias("refs_per_file"))
 
 

@@ -424,6 +424,15 @@ class Repo:
         computed = computed.unionByName(empty.join(computed.select(*KEYS), KEYS, "left_anti"))
         return verify.statuses(meta, computed.select(*KEYS, F.col("snapshot_hash").alias("hash"), F.col("file_count").alias("files"), F.col("total_bytes").alias("bytes")), policy)
 
+    def summary(self, found: DataFrame) -> dict[str, int]:
+        """How many snapshots of an export, a hydration or a compaction had which status; a row a status."""
+        return {r["status"]: r["count"] for r in found.groupBy("status").count().orderBy("status").collect()}
+
+    def refcount_json(self) -> str:
+        """Every chunk's references in all manifests as a JSON document, its digests in order. For stores of a size that a document can hold."""
+        rows = cas.refcount(self.store.read("manifest_files")).orderBy("hash").toLocalIterator()
+        return json.dumps({r["hash"]: r["n"] for r in rows}, indent=2)
+
     def verify_counts(self, found: DataFrame) -> DataFrame:
         """One row: how many snapshots of ``verify``'s rows had which outcome."""
         return verify.counters(found)

@@ -115,6 +115,10 @@ def test_canonical_paths(spark):
 def test_spaces_and_specs(spark):
     assert ids.effective_space(None, " ", "x") == "x" and ids.effective_space() == "main"
     assert ids.source_spec("a:@1", "main") == ("a", "@1") and ids.source_spec("@1", "main") == ("main", "@1")
+    assert ids.space_and_selector([]) == (None, None) and ids.space_and_selector(["work", "@1"], "main") == ("work", "@1") and ids.space_and_selector(["@1"], "main") == ("main", "@1")
+    for words in (["Bad"], ["@1", "@2"], ["work", "@1", "x"]):
+        with pytest.raises(ValueError):
+            ids.space_and_selector(words)
     df = frame(spark, [("@1",), ("2024",), ("work_a",), ("main",)], "t string")
     assert [r[0] for r in df.select(ids.looks_like_id("t")).collect()] == [True, True, True, False]
 

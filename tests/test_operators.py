@@ -104,6 +104,14 @@ def test_statistics_of_nothing_are_zero(spark):
     assert (row["manifests"], row["files"], row["dedup_factor"], row["compression_ratio"], row["refs_per_file"]) == (0, 0, 0.0, 0.0, 0.0)
 
 
+def test_statistics_count_each_file_once(spark):
+    heads = spark.createDataFrame([("s", "cas:2"), ("s", "cas:2"), ("t", "CAS:1"), ("u", "x:1")], "snapshot_id string, version string")
+    a, b, c = ("%064X" % k for k in (1, 2, 3))
+    files = spark.createDataFrame([("s", 5, [a, b]), ("s", 0, []), ("t", 7, [a.lower(), a, "bad"]), ("t", 0, None), ("u", 9, [c])], "snapshot_id string, bytes long, chunk_hashes array<string>")
+    row = cas.statistics(heads, files, spark.createDataFrame([(a, 4), (c, 1)], "hash string, stored_len long")).first()
+    assert tuple(row)[:8] == (2, 4, 12, 4, 2, 1, 1, 4) and (row["dedup_factor"], row["compression_ratio"], row["refs_per_file"]) == (2.0, 3.0, 1.0)
+
+
 def test_hashes_count_without_case(spark):
     h = "ab" * 32
     files = spark.createDataFrame([([h, h.upper(), "bad", None],)], "chunk_hashes array<string>")
@@ -181,6 +189,8 @@ def test_digests_stream_in_path_order(spark):
     assert {r["space"]: r["content_sha256"] for r in hashing.content_concat_hash(df, ["space"]).collect()} == want
     pieces = df.select("space", "path", F.posexplode(F.array(F.col("content"), F.lit(b"."))).alias("idx", "data"))
     assert hashing.content_concat_hash(pieces, ["space"]).count() == 2
+    more = df.unionByName(spark.createDataFrame([("a", "x/Meta.JSON", 1, bytearray(b"m"))], df.schema))
+    assert hashing.snapshot_hashes(more, ["space"], without_meta=True).orderBy("space").collect() == hashing.snapshot_hashes(df, ["space"]).orderBy("space").collect()
     row = hashing.snapshot_hashes(df.limit(0), []).first()
     assert (row["snapshot_hash"], row["file_count"], row["total_bytes"]) == (hashing.EMPTY_SHA256, 0, 0) and hashing.snapshot_hashes(df.limit(0), ["space"]).count() == 0
 

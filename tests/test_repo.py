@@ -239,6 +239,13 @@ def test_hydrate_modes(repo, tmp_path):
     assert repo.restore(small, str(tmp_path / "o"), hydrate="persist") == 1 and repo.snapshots().first()["has_payload"]
 
 
+def test_references_as_a_document(repo):
+    assert manifest_json.refcounts(repo.refcount_json()) == {}
+    repo.save(table(repo.spark, {"a": b"1", "b": b"1", "c": b"2"}), mode="compact")
+    assert sorted(manifest_json.refcounts(repo.refcount_json()).values()) == [1, 2]
+    assert repo.summary(repo.hydrate(latest=1)) == {"OK": 1} and repo.summary(repo.hydrate(latest=1)) == {"SKIPPED": 1}
+
+
 def test_notes(repo):
     saved = repo.save(table(repo.spark, {"a": b"1"}), message="m")
     assert [tuple(r) for r in repo.notes().collect()] == [(saved, "m")]
@@ -341,7 +348,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([*at, "init"]) == 0 and cli.main([*at, "save", str(tmp_path / "none"), "--compact", "--compact-full"]) == 2 and cli.main([*at, "s", root, "-c", "-m", "note"]) == 0
     assert cli.main([*at, "hist"]) == 0 and "note" in capsys.readouterr().out
     assert cli.main([*at, "verify", "--policy", "temp"]) == 0 and cli.main([*at, "verify"]) == 1
-    assert cli.main([*at, "note"]) == 0 and cli.main([*at, "note", "--view"]) == 2 and cli.main([*at, "note", "@0"]) == 0 and cli.main([*at, "hist", "--size"]) == 0
+    assert cli.main([*at, "note"]) == 0 and cli.main([*at, "note", "main"]) == 0 and cli.main([*at, "note", "main", "@0", "--view"]) == 0 and cli.main([*at, "note", "--view"]) == 2 and cli.main([*at, "note", "@0"]) == 0 and cli.main([*at, "hist", "--size"]) == 0
     assert cli.main([*at, "verify", "--show-details", "--policy", "skip"]) == 0 and "skip-missing" in capsys.readouterr().out
     assert cli.main([*at, "restore", "--to", str(tmp_path / "o")]) == 2 and cli.main([*at, "restore", "--to", str(tmp_path / "o"), "--hydrate=tmp"]) == 0
     assert cli.main([*at, "tidy", "--keep", "0", "--dry-run"]) == 0 and cli.main([*at, "space", "use", "none"]) == 2
