@@ -34,4 +34,5 @@ def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components: no fixed point after {rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
+    # at the fixed point every node but the smallest of a component has one edge, to the smallest
+    return e.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,13 +1,13 @@
 """Questions from blocks of documents to shards of keys, and the answers back.
 
 Some operators must ask, for each of a great many keys of each document, something about all documents
-(how often does this window occur?). A row for each key would shuffle far more than the input. Here a task
-packs the distinct keys of a block of documents (some megabytes of text) into one binary for each shard; a
-shard, a slice of the hash space, sees each key once a block at most, answers all blocks, and the answers
-meet the block's documents again by the block's number. A key that is in every document is thus one entry a
-block, and a block asks only the shards that it has keys for: rows are never more than keys, and they grow
-in proportion to the input once a block has fewer keys than there are shards. Documents travel compressed beside the keys, in the same shuffle, so that what comes back meets what
-asked even if a lost task is run again. Memory: one block, or one shard's share, at a time.
+(how often does this window occur?). A row for each key would shuffle far more than the input. Here the documents
+are first packed into numbered blocks (some megabytes of text each, compressed) in the checkpoint folder. A task then
+makes of a block's distinct keys one binary for each shard; a shard, a slice of the hash space, sees each key once a
+block at most, answers all blocks, and the answers meet their block again by its number. What comes back meets what
+asked even if a lost task is run again, for blocks never change. A key that is in every document is one entry a block,
+and a block asks only the shards that it has keys for: rows are never more than keys, and they grow
+in proportion to the input once a block has fewer keys than there are shards. Memory: one block, or one shard's share, at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import chunks, release
+from stratum.llm.common import cut, release, slices
 
 ROWS = pa.schema([("dest", pa.int64()), ("block", pa.int64()), ("blob", pa.binary())])
 
@@ -67,18 +67,25 @@ def parts(b: bytes) -> list[bytes]:
     return [b[i:j] for i, j in zip([8 + 8 * n, *ends], ends, strict=False)]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.RecordBatch], list[list[bytes]]]]:
-    """Slices of about ``most`` bytes of text in all, each with its texts; empty input gives none."""
-    slices, found, size = [], [], 0
-    for s, t in chunks(batches, min(most, 4 << 20)):
-        slices.append(s)
-        found.append(t)
-        size += sum(map(len, t))
-        if size >= most:
-            yield slices, found
-            slices, found, size = [], [], 0
-    if slices:
-        yield slices, found
+def blocks_of(docs: DataFrame, most: int) -> DataFrame:
+    """(block, docs): the rows of ``docs`` (doc_id, text) in numbered blocks of about ``most`` bytes of text, kept in the checkpoint folder."""
+
+    def packed(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pack(held)], pa.binary())], ["block", "docs"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for part, n in slices(batches, most):
+            if held and size + n > most:
+                yield packed(number, held)
+                number, held, size = number + 1, [], 0
+            held.append(part)
+            size += n
+        if held:
+            yield packed(number, held)
+        release()
+
+    return cut(docs.select("doc_id", "text").mapInArrow(gather, "block long, docs binary"))
 
 
 def split(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
@@ -88,30 +95,32 @@ def split(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     return [(int(k), int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(edges[1:] > edges[:-1])]
 
 
-def exchange(docs: DataFrame, shards: int, block_bytes: int, ask: Callable, answer: Callable, finish: Callable, schema: str, with_slices: bool = False) -> DataFrame:
-    """``finish``'s rows for all blocks of ``docs`` (doc_id, text).
+def split_high(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """The same for sorted values that have the shard in the bits above 32."""
+    shard = (x >> np.uint64(32)).astype(np.int64)
+    edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(x)).tolist()
+    return [(int(shard[a]), a, b) for a, b in zip(edges, edges[1:], strict=False)]
 
-    ask(found, shards): (shard, blob) of a block, in order of shard, for those it has keys for; found holds lists of texts
-    in order. ``with_slices`` also hands it the record batches.
-    answer(blobs): the answers to one shard's blobs, in order, and a blob about the shard or None.
-    finish(table, answers): the block's rows, from its documents and the answers of the shards that it asked, in order.
-    finish(None, blobs): rows from what the shards told of themselves.
+
+def answers_of(blocks: DataFrame, shards: int, ask: Callable, answer: Callable) -> DataFrame:
+    """(dest, block, blob): what the shards answer the blocks (block, docs, and maybe more binary columns).
+
+    ask(table, *more): (shard, blob) for the shards that the block has keys for, in order of shard; table holds its documents.
+    answer(blobs): the answers to one shard's blobs, in order, and a blob about the shard or None; that goes to block -1.
     """
 
-    def asks(batches):
-        number = TaskContext.get().partitionId() << 32
-        for slices, found in blocks(batches, block_bytes):
-            more = (slices,) if with_slices else ()
-            blobs = [*ask(found, shards, *more), (shards + number, pack(slices))]
-            for i in range(0, len(blobs), 64):
-                part = blobs[i : i + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part]), pa.array([number] * len(part)), pa.array([b for _, b in part], pa.binary())], schema=ROWS)
-            number += 1
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                number, docs, *more = (column[row].as_py() for column in batch.columns)
+                blobs = [*ask(unpack(docs), *more)]
+                for i in range(0, len(blobs), 64):
+                    part = blobs[i : i + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part]), pa.array([number] * len(part)), pa.array([b for _, b in part], pa.binary())], schema=ROWS)
+                release()
 
     def answers(table: pa.Table) -> pa.Table:
         dest = table["dest"][0].as_py()
-        if dest >= shards:
-            return table
         told, about = answer([x.as_py() for x in table["blob"]])
         release()
         numbers = table["block"].to_pylist()
@@ -119,15 +128,33 @@ def exchange(docs: DataFrame, shards: int, block_bytes: int, ask: Callable, answ
             told, numbers = [*told, about], [*numbers, -1]
         return pa.table([pa.array([dest] * len(told)), pa.array(numbers), pa.array(told, pa.binary())], schema=ROWS)
 
+    rows = "dest long, block long, blob binary"
+    return blocks.mapInArrow(asks, rows).groupBy("dest").applyInArrow(answers, rows)
+
+
+def finished(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """``finish``'s rows for all blocks and the answers to them.
+
+    finish(table, answers, *more): the block's rows, from its documents and the answers of the shards that it asked, in order.
+    finish(None, blobs): rows from what the shards told of themselves.
+    """
+    more = blocks.columns[2:]
+
     def finishes(table: pa.Table) -> pa.Table:
         table = table.sort_by("dest")
         blobs = table["blob"]
         if table["block"][0].as_py() < 0:
             return finish(None, [x.as_py() for x in blobs])
-        out = finish(unpack(blobs[-1].as_py()), [x.as_py() for x in blobs[:-1]])
+        out = finish(unpack(blobs[0].as_py()), [x.as_py() for x in blobs.slice(1)], *(table[c][0].as_py() for c in more))
         release()
         return out
 
-    rows = "dest long, block long, blob binary"
-    asked = docs.select("doc_id", "text").mapInArrow(asks, rows)
-    return asked.groupBy("dest").applyInArrow(answers, rows).groupBy("block").applyInArrow(finishes, schema)
+    own = blocks.select(F.lit(-1).cast("long").alias("dest"), "block", F.col("docs").alias("blob"), *more)
+    told = answers.select("dest", "block", "blob", *(F.lit(None).cast("binary").alias(c) for c in more))
+    return own.unionByName(told).groupBy("block").applyInArrow(finishes, schema)
+
+
+def exchange(docs: DataFrame, block_bytes: int, shards: int, ask: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
+    """``finish``'s rows for ``docs`` (doc_id, text) in blocks of ``block_bytes``; see above."""
+    blocks = blocks_of(docs, block_bytes)
+    return finished(blocks, answers_of(blocks, shards, ask, answer), finish, schema)

@@ -32,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import WordHashes, cut, mix, release, shingle_hashes
+from stratum.llm.common import WordHashes, cut, distinct, mix, release, shingle_hashes, texts
 from stratum.llm.components import components
-from stratum.llm.exchange import exchange, frame, n_shards, parts, press, split, unpress
+from stratum.llm.exchange import exchange, frame, n_shards, parts, press, split, split_high, unpress
 
 U = np.uint64
 M64 = (1 << 64) - 1
@@ -60,7 +60,7 @@ def intervals(upto: int, least: int) -> list[int]:
 def shingle_set(text: bytes, hashes: WordHashes, words: int) -> np.ndarray:
     """The set's hashes in order; a text of fewer words is one shingle of all of them, one of none has none."""
     h = hashes.array(text.lower().split())
-    return np.unique(shingle_hashes(h, min(words, len(h)))) if len(h) else h
+    return distinct(shingle_hashes(h, min(words, len(h)))) if len(h) else h
 
 
 def set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -83,12 +83,12 @@ def prefix_of(s: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
     return s[first[counts[first] > 1]]
 
 
-def sets_of(texts: list[bytes], words: int) -> tuple[list[np.ndarray], np.ndarray]:
+def sets_of(found: list[bytes], words: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct texts' sets, and which of them each text has."""
     hashes, place = WordHashes(), {}
-    at = np.array([place.setdefault(xxhash.xxh3_128_digest(b), len(place)) for b in texts], np.int64)
+    at = np.array([place.setdefault(xxhash.xxh3_128_digest(b), len(place)) for b in found], np.int64)
     first = np.unique(at, return_index=True)[1]
-    return [shingle_set(texts[i], hashes, words) for i in first.tolist()], at
+    return [shingle_set(found[i], hashes, words) for i in first.tolist()], at
 
 
 def prefixes(docs: DataFrame, words: int, least: int, block_bytes: int = 4 << 20) -> DataFrame:
@@ -101,13 +101,11 @@ def prefixes(docs: DataFrame, words: int, least: int, block_bytes: int = 4 << 20
     bits = (n_shards(docs) - 1).bit_length()
     low = U(32 - bits)
 
-    def ask(found, shards):
-        sets, _ = sets_of([b for part in found for b in part], words)
+    def ask(table):
+        sets, _ = sets_of(texts(table["text"].combine_chunks()), words)
         k, n = np.unique(np.concatenate([np.empty(0, U), *sets]) >> low, return_counts=True)
-        shard = (k >> U(32)).astype(np.int64)
-        edges = np.flatnonzero(np.diff(shard, prepend=-1))
-        for a, b in zip(edges, np.append(edges[1:], len(k)), strict=True):
-            yield int(shard[a]), frame(k[a:b].astype(np.uint32).tobytes(), press(n[a:b]))
+        for shard, a, b in split_high(k):
+            yield shard, frame(k[a:b].astype(np.uint32).tobytes(), press(n[a:b]))
 
     def answer(blobs):
         asked = [parts(b) for b in blobs]
@@ -117,8 +115,8 @@ def prefixes(docs: DataFrame, words: int, least: int, block_bytes: int = 4 << 20
         return [press(x) for x in np.split(total[back], np.cumsum([len(k) for k in keys])[:-1])], None
 
     def finish(table, answers):
-        sets, at = sets_of([x or b"" for x in table["text"].cast(pa.large_binary()).to_pylist()], words)
-        k = np.unique(np.concatenate([np.empty(0, U), *sets]) >> low)
+        sets, at = sets_of(texts(table["text"].combine_chunks()), words)
+        k = distinct(np.concatenate([np.empty(0, U), *sets]) >> low)
         counts = np.concatenate([np.empty(0, np.int64), *map(unpress, answers)])
         short = [prefix_of(s, counts[np.searchsorted(k, s >> low)], least) for s in sets]
         both = [set_hash(s) for s in sets]
@@ -130,7 +128,7 @@ def prefixes(docs: DataFrame, words: int, least: int, block_bytes: int = 4 << 20
         return pa.table({"doc_id": table["doc_id"], "n": sizes, "h1": h1, "h2": h2, "tokens": blob(short), "hashes": blob(sets)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return exchange(docs, 1 << bits, block_bytes, ask, answer, finish, f"doc_id {kind}, n long, h1 long, h2 long, tokens binary, hashes binary")
+    return exchange(docs, block_bytes, 1 << bits, ask, answer, finish, f"doc_id {kind}, n long, h1 long, h2 long, tokens binary, hashes binary")
 
 
 def search(sets: list[np.ndarray], order: list[int], indexed: int | None, least: int) -> list[tuple[int, int]]:
@@ -358,3 +356,19 @@ def join(docs: DataFrame, words: int = 5, least: int = 80, block_docs: int = 600
     none = rows.where("n = 0").select(*rows.columns, F.lit(1).cast("long").alias("class_size"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     out = rows.where("n > 0").join(large, KEY).unionByName(some).unionByName(none)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", "n_links")
+
+
+#: The query's rows by plain joins, for the correctness check.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') x FROM d, unnest(range(1, len(w) - least(3, len(w)) + 2)) t(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+z AS (SELECT s.doc_id, x, n FROM s JOIN n USING (doc_id)),
+p AS (SELECT a.doc_id a, b.doc_id b, a.n na, b.n nb, count(*) m FROM z a JOIN z b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b, na = nb AND m = na same FROM p WHERE 100 * m >= 90 * (na + nb - m)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id),
+c AS (SELECT doc_id, min(c) component_id FROM r GROUP BY doc_id),
+k AS (SELECT a doc_id, count(*) n_links, count(*) FILTER (same) copies FROM l GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT n_shingles, component_id, 1 + coalesce(copies, 0) class_size, coalesce(n_links, 0) n_links
+FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import crc_mod, cut, mix
+from stratum.llm.common import crc_mod, cut, mix, texts
 from stratum.llm.exchange import exchange, frame, n_shards, pack, parts, press, split, unpack, unpress
 
 U = np.uint64
@@ -58,14 +58,13 @@ class Places(dict):
 class Block:
     """A block's tokens as places in its vocabulary, and its distinct words and bigrams as hashes."""
 
-    def __init__(self, found: list[list[bytes]]):
+    def __init__(self, found: list[bytes]):
         places, parts, sizes = Places({b"": 0}), [], []  # no word is empty: that place is the end's
-        for texts in found:
-            for b in texts:
-                words = b.lower().split()
-                sizes.append(len(words) + 1)
-                parts.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
-                parts.append(np.zeros(1, np.int32))
+        for b in found:
+            words = b.lower().split()
+            sizes.append(len(words) + 1)
+            parts.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+            parts.append(np.zeros(1, np.int32))
         self.sizes = np.array(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
         self.token = np.concatenate(parts) if parts else np.empty(0, np.int32)
@@ -136,9 +135,9 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
     docs = docs.select(F.struct("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out")).alias("doc_id"), "text")
     kind = docs.schema["doc_id"].dataType["doc_id"].dataType.simpleString()
 
-    def ask(found, shards, slices):
-        train = ~np.concatenate([s.column(0).field("held_out").to_numpy(zero_copy_only=False) for s in slices])
-        block = Block(found)
+    def ask(table):
+        train = ~table["doc_id"].combine_chunks().field("held_out").to_numpy(zero_copy_only=False)
+        block = Block(texts(table["text"].combine_chunks()))
         mine = np.repeat(train, block.sizes)
         words = np.bincount(block.token[mine], minlength=len(block.hashes))
         both = np.sort(2 * block.pairs + mine)
@@ -175,7 +174,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
             return pa.table({"docs": pa.array([None], pa.binary()), "data": pa.array([nv.tobytes()], pa.binary()), "held": pa.array([[]], HELD)})
         ids = table["doc_id"].combine_chunks()
         train = ~ids.field("held_out").to_numpy(zero_copy_only=False)
-        block = Block([[x or b"" for x in table["text"].cast(pa.large_binary()).to_pylist()]])
+        block = Block(texts(table["text"].combine_chunks()))
         mine = np.repeat(train, block.sizes)
         distinct, at = np.unique(block.pairs, return_inverse=True)
         answers = [parts(b) for b in answers]
@@ -196,7 +195,8 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
 
     HELD = pa.list_(pa.struct([("k", pa.int64()), ("n", pa.int64())]))
     schema = "docs binary, data binary, held array<struct<k: long, n: long>>"
-    answered = cut(exchange(docs, n_shards(docs), block_bytes, ask, answer, finish, schema, with_slices=True))
+    shards = n_shards(docs)
+    answered = cut(exchange(docs, block_bytes, shards, ask, answer, finish, schema))
 
     told = [np.frombuffer(r[0], np.int64) for r in answered.where("docs IS NULL").select("data").collect()]  # one row
     n, v = (int(x) for x in np.sum(told, axis=0)) if told else (0, 0)

@@ -52,4 +52,4 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_substring_dedup, op4_jaccard_join, op5_quality_rules, op6_lm_scoring, op7_language_id, op8_sharding, op9_decontamination, op10_mixing)}
-ORACLE_SQL = {"op3_substring_dedup": substring_dedup.SQL, "op9_decontamination": decontamination.SQL}
+ORACLE_SQL = {"op3_substring_dedup": substring_dedup.SQL, "op4_jaccard_join": jaccard_join.SQL, "op9_decontamination": decontamination.SQL}

@@ -3,13 +3,13 @@
 A window is ``n`` consecutive words of one document; a word goes if it is covered by a window whose words
 also start anywhere else, in the same document or another. Windows are judged on the input.
 
-First pass, a count-min sketch: each partition counts cells, the partitions' sketches are added up, and the
-least of a window's cells is an estimate that is never below the number of places where the window occurs.
+First pass, a count-min sketch: each block of documents makes a sketch of its own, its cells' counts, up to two; the blocks'
+sketches are added up slice by slice, each slice in a shard, and the least that a cell says is never below the number of places
+where the window occurs. The sketch is as large as the input asks for, for no task, and not the driver, holds more than a slice.
 To count a fourteenth as many things, a window is counted by its anchor, the least hash among its 8-word
 grams: equal windows at different places have their anchors at different places, so the anchor's count is
 an overestimate too. Second pass: only windows estimated at two or more are grouped, by 96 bits of hash, and
-found to be repeated or not exactly; no window is lost. The sketch's size follows the input up to a bound;
-beyond it more windows reach the second pass and the result is the same.
+found to be repeated or not exactly; no window is lost.
 """
 
 from __future__ import annotations
@@ -21,13 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import WordHashes, chunks, mix
-from stratum.llm.exchange import exchange, split
+from stratum.llm.common import WordHashes, cut, distinct, mix, texts
+from stratum.llm.exchange import answers_of, blocks_of, finished, frame, n_shards, parts, split, split_high
 
 WINDOW = 35
 GRAM = 8
-#: Cells of the sketch that are merged in one task.
-SLICE_BITS = 22
 U = np.uint64
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)  # odd numbers; any would do
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -91,84 +89,73 @@ class Block:
         return one, (rolling(self.h, self.n, MULTIPLIERS[2])[at] >> U(32)).astype(np.uint32)
 
 
-def cells(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """An anchor's cell in each of the sketch's two rows."""
-    return mix(anchors ^ U(MULTIPLIERS[1])) >> U(64 - bits), mix(anchors ^ U(MULTIPLIERS[2])) >> U(64 - bits)
+def cells(anchors: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    """An anchor's cell in the sketch: 2^bits cells in each shard's slice, the shard above them."""
+    x = mix(anchors ^ U(MULTIPLIERS[1]))
+    shard = ((x >> U(32)) * U(shards)) >> U(32)
+    return shard << U(32) | (x & U((1 << bits) - 1))
 
 
-def read(found: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts in a row; the texts' numbers of words. One list of texts is split at a time."""
-    h, sizes = [], []
-    for texts in found:
-        for b in texts:
-            words = b.split()
-            sizes.append(len(words))
-            h.append(hashes.array(words))
+def read(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in a row; the texts' numbers of words."""
+    hashes, h, sizes = WordHashes(), [], []
+    for b in found:
+        words = b.split()
+        sizes.append(len(words))
+        h.append(hashes.array(words))
     return np.concatenate(h) if h else np.empty(0, U), np.array(sizes, np.int64)
 
 
-def sketch(docs: DataFrame, bits: int, n: int, gram: int) -> np.ndarray:
-    """Two rows of 2^bits flags: counted twice or more in the sum of all partitions' sketches."""
-    per = min(bits, SLICE_BITS)
-
-    def count(batches):
-        hashes, found = WordHashes(), ([], [])
-        for _, texts in chunks(batches):
-            block = Block(*read([texts], hashes), n, gram)
-            for row, c in zip(found, cells(block.anchors(), bits), strict=True):
-                row.append(c)
-        for r, parts in enumerate(found):
-            c = np.sort(np.concatenate(parts)) if parts else np.empty(0, U)
-            third = np.zeros(len(c), bool)
-            third[2:] = c[2:] == c[:-2]
-            c = c[~third]  # counts above two say no more than two
-            for s in np.unique(c >> U(per)):
-                own = c[np.searchsorted(c, s << U(per)) : np.searchsorted(c, (s << U(per)) + U((1 << per) - 1), "right")]
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([int(s)], pa.int32()), pa.array([(own & U((1 << per) - 1)).astype(np.uint32).tobytes()], pa.binary())], ["row", "slice", "cells"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << per, np.uint8)
-        for x in table["cells"]:
-            c = np.frombuffer(x.as_py(), np.uint32)
-            for part in (c[np.concatenate([[True], c[1:] != c[:-1]])], c[1:][c[1:] == c[:-1]]):
-                total[part] += total[part] < 2
-        return pa.table({"row": table["row"][:1], "slice": table["slice"][:1], "flags": pa.array([np.packbits(total > 1, bitorder="little").tobytes()], pa.binary())})
-
-    rows = docs.select("doc_id", "text").mapInArrow(count, "row int, slice int, cells binary")
-    merged = rows.groupBy("row", "slice").applyInArrow(add, "row int, slice int, flags binary")
-    out = np.zeros((2, (1 << bits) // 8), np.uint8)
-    width = (1 << per) // 8
-    for r in merged.toLocalIterator():  # the sketch's size in all, which is bounded
-        out[r["row"], r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["flags"], np.uint8)
-    return out
-
-
-def remove(docs: DataFrame, window: int = WINDOW, max_bits: int = 27, block_bytes: int = 8 << 20) -> DataFrame:
+def sketch(blocks: DataFrame, shards: int, bits: int, window: int, gram: int) -> DataFrame:
+    """(block, flags): for each of the block's distinct cells in order a bit, whether all blocks' sketches together count two there, or more."""
+
+    def ask(table):
+        block = Block(*read(texts(table["text"].combine_chunks())), window, gram)
+        found, n = np.unique(cells(block.anchors(), shards, bits), return_counts=True)
+        for k, a, b in split_high(found):
+            yield k, frame(found[a:b].astype(np.uint32).tobytes(), np.packbits(n[a:b] > 1).tobytes())
+
+    def add(blobs):
+        asked = [parts(b) for b in blobs]
+        own = [np.frombuffer(x, np.uint32) for x, _ in asked]
+        found, back, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(x)) for x, (_, b) in zip(own, asked, strict=True)])
+        total = n + np.bincount(back, twice, len(found))  # two or more count as two in a block's sketch
+        return [np.packbits(x).tobytes() for x in np.split((total > 1)[back], np.cumsum([len(x) for x in own])[:-1])], None
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("dest")
+        return pa.table({"block": table["block"][:1], "flags": pa.array([frame(*(x.as_py() for x in table["blob"]))], pa.binary())})
+
+    return answers_of(blocks, shards, ask, add).groupBy("block").applyInArrow(join, "block long, flags binary")
+
+
+def remove(docs: DataFrame, window: int = WINDOW, cell_bits: int = 32, block_bytes: int = 8 << 20, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_words, n_removed and kept (UTF-8, the kept words joined by one space) for every row of ``docs``.
 
-    2^max_bits: the most cells in each of the sketch's two rows. Null and empty texts, and texts shorter than a window,
-    keep what they have; equal rows remove each other's words; other columns play no part; an empty table gives an empty
-    result. Both the sketch and the second pass cover all windows of all texts whole.
+    2^cell_bits: the cells in each slice of the sketch, of which there is one for 16 MB of text. Null and empty texts, and texts
+    shorter than a window, keep what they have; equal rows remove each other's words; other columns play no part; an empty table
+    gives an empty result. Both the sketch and the second pass cover all windows of all texts whole.
     """
-    spark, gram = docs.sparkSession, min(GRAM, window)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(8, -(-total // (16 << 20)))
-    bits = min(max_bits, max(16, (total // 10).bit_length()))
-    flags = spark.sparkContext.broadcast(sketch(docs, bits, window, gram))
+    gram, shards = min(GRAM, window), n_shards(docs)
+    blocks = blocks_of(docs, block_bytes)
+    flags = cut(sketch(blocks, shards, cell_bits, window, gram))
+    small = (flags.agg(F.sum(F.octet_length("flags"))).first()[0] or 0) <= broadcast_bytes
+    blocks = blocks.join(F.broadcast(flags) if small else flags, "block", "left")
 
-    def repeated(block: Block) -> np.ndarray:
+    def repeated(block: Block, flags: bytes | None) -> np.ndarray:
         """Places of windows that the sketch puts at two or more."""
         at = np.flatnonzero(block.valid)
-        anchors, back = np.unique(block.least[at], return_inverse=True)
-        ok = np.ones(len(anchors), bool)
-        for row, c in zip(flags.value, cells(anchors, bits), strict=True):
-            ok &= (row[(c >> U(3)).astype(np.int64)] >> (c & U(7)).astype(np.uint8)) & 1 == 1
-        return at[ok[back]]
+        if not len(at):
+            return at
+        mine = distinct(cells(block.anchors(), shards, cell_bits))
+        hit = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n - m) for b, (_, m, n) in zip(parts(flags), split_high(mine), strict=True)]).astype(bool)
+        return at[hit[np.searchsorted(mine, cells(block.least[at], shards, cell_bits))]]
 
-    def packed(h, sizes):
+    def packed(h, sizes, flags):
         """The block's candidates: places, order by key, first place in order of each key, keys."""
         block = Block(h, sizes, window, gram)
-        at = repeated(block)
+        at = repeated(block, flags)
         one, two = block.keys(at)
         order = np.lexsort((two, one))
         one, two = one[order], two[order]
@@ -176,8 +163,8 @@ def remove(docs: DataFrame, window: int = WINDOW, max_bits: int = 27, block_byte
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         return at, order, new, one, two
 
-    def ask(found, shards):
-        _, _, new, one, two = packed(*read(found, WordHashes()))
+    def ask(table, flags):
+        _, _, new, one, two = packed(*read(texts(table["text"].combine_chunks())), flags)
         first = np.flatnonzero(new)
         twice = np.diff(np.append(first, len(new))) > 1
         one, two = one[first], two[first]
@@ -198,10 +185,10 @@ def remove(docs: DataFrame, window: int = WINDOW, max_bits: int = 27, block_byte
         # a key counted twice within one block is told so by that block alone, which is enough: others have it in two places
         return [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum(sizes)[:-1])], None
 
-    def finish(table, answers):
-        found = [x or b"" for x in table["text"].cast(pa.large_binary()).to_pylist()]
-        h, sizes = read([found], WordHashes())
-        at, order, new, one, _ = packed(h, sizes)
+    def finish(table, answers, flags):
+        found = texts(table["text"].combine_chunks())
+        h, sizes = read(found)
+        at, order, new, one, _ = packed(h, sizes, flags)
         asked = split(one[np.flatnonzero(new)], shards)
         hit = np.concatenate([np.empty(0, np.uint8), *(np.unpackbits(np.frombuffer(b, np.uint8), count=n - m) for b, (_, m, n) in zip(answers, asked, strict=True))]).astype(bool)
         gone = np.zeros(len(h) + 1, np.int32)
@@ -220,7 +207,7 @@ def remove(docs: DataFrame, window: int = WINDOW, max_bits: int = 27, block_byte
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return exchange(docs, shards, block_bytes, ask, answer, finish, f"doc_id {kind}, n_words long, n_removed long, kept binary")
+    return finished(blocks, answers_of(blocks, shards, ask, answer), finish, f"doc_id {kind}, n_words long, n_removed long, kept binary")
 
 
 #: The same by counting all windows, for the correctness check.

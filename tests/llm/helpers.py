@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 #: Columns whose names the operators use inside.
-CLASHING = ("n_words", "kept", "hash", "row", "copies", "shard", "piece", "grp", "size", "n", "h1", "key", "rate", "count", "taken", "rep", "node", "component", "block", "dest", "col", "doc", "id", "label", "prefix")
+CLASHING = ("n_words", "kept", "hash", "row", "copies", "shard", "piece", "grp", "size", "n", "h1", "key", "rate", "count", "taken", "rep", "node", "component", "block", "dest", "col", "doc", "id", "label", "prefix", "a.b", "tick`ed", "two words", "nth", "members", "many", "cluster", "tokens", "docs")
 
 
 def prose(r, n, words=60):

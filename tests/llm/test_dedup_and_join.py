@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratum.llm import decontamination, jaccard_join, substring_dedup
+from stratum.llm import decontamination, exchange, jaccard_join, substring_dedup
 from stratum.llm.common import mix
 from stratum.llm.components import components
 from stratum.llm.exchange import split
@@ -36,17 +36,34 @@ def removed(rows, n):
     return out
 
 
-@pytest.mark.parametrize("window,bits", [(35, 27), (35, 8), (5, 10), (1, 12), (9, 27)])
+@pytest.mark.parametrize("window,bits", [(35, 32), (35, 4), (5, 6), (1, 8), (9, 32)])
 def test_removes_what_all_windows_say(spark, window, bits):
     r = random.Random(window)
     rows = [(i, t) for i, t, _, _ in awkward()]
     some = [helpers.prose(r, 40, 9) for _ in range(6)]
     rows += [(200 + i, " ".join([r.choice(some), helpers.prose(r, 30, 400), r.choice(some)][: 1 + i % 3])) for i in range(30)]
     df = frame(spark, [(i, t, None, None) for i, t in rows], parts=4)
-    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in substring_dedup.remove(df, window, max_bits=bits, block_bytes=50_000).collect())
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in substring_dedup.remove(df, window, cell_bits=bits, block_bytes=50_000, broadcast_bytes=0 if bits == 4 else 1 << 20).collect())
     assert got == removed(rows, window)
 
 
+def test_the_sketch_filters_alike_at_every_size(spark):
+    """Words of unrepeated windows that pass the sketch, and rows of the exchange, as the input grows."""
+    r = random.Random(3)
+    docs = [(k, " ".join(f"w{r.randrange(50_000)}" for _ in range(400)) + (" same" * 40 if k % 5 == 0 else "")) for k in range(160)]
+    passed, rows = [], []
+    for n in (40, 80, 160):
+        df = frame(spark, [(i, t, None, None) for i, t in docs[:n]], parts=2)
+        blocks = exchange.blocks_of(df, 8000)
+        shards = 2 * n  # as many as the text asks for at scale
+        flags = substring_dedup.sketch(blocks, shards, 32, 35, 8).collect()
+        bits = [np.unpackbits(np.frombuffer(b, np.uint8)) for f in flags for b in exchange.parts(bytes(f["flags"]))]
+        passed.append(sum(int(b.sum()) for b in bits) / sum(map(len, bits)))
+        asked = exchange.answers_of(blocks, shards, lambda t, s=shards: ((k, b"") for k, _, _ in exchange.split_high(np.unique(substring_dedup.cells(substring_dedup.Block(*substring_dedup.read(t["text"].cast("binary").to_pylist()), 35, 8).anchors(), s, 32)))), lambda blobs: (blobs, None))
+        rows.append(asked.count())
+    assert max(passed) < 0.05 and rows[1] < 2.6 * rows[0] and rows[2] < 2.6 * rows[1]
+
+
 def test_dedup_of_nothing(spark):
     assert substring_dedup.remove(frame(spark, awkward()).limit(0)).count() == 0
     row = substring_dedup.remove(frame(spark, [(1, None, None, None)])).first()
@@ -107,7 +124,7 @@ def test_a_block_asks_only_shards_that_it_has_keys_for():
     keys = np.sort(mix(np.arange(50, dtype=np.uint64)))
     asked = split(keys, 1 << 20)
     assert len(asked) == 50 and all(b - a == 1 for _, a, b in asked) and [a for _, a, _ in asked] == list(range(50))
-    assert sum(b - a for _, a, b in split(keys, 8)) == 50 and split(keys[:0], 8) == []
+    assert sum(b - a for _, a, b in split(keys, 8)) == 50 and split(keys[:0], 8) == [] and exchange.split_high(keys[:0]) == []
 
 
 def test_counts_every_link(spark):
