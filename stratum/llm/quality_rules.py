@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stratum.llm.common import chunks
+from stratum.llm.common import chunks, named
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
@@ -70,7 +70,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measures(docs: DataFrame, columns: list[str]) -> DataFrame:
     """One row per row of ``docs``: ``row``, a struct of the named columns, and the counts. A null text counts as an empty one."""
-    df = docs.select(F.struct(*columns).alias("row"), "text")
+    df = docs.select(F.struct(*map(named, columns)).alias("row"), "text")
     schema = StructType([df.schema["row"], *(StructField(c, LongType()) for c in COUNTS)])
     return df.mapInArrow(_measured, schema)
 
@@ -105,7 +105,9 @@ def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 100) -
     A rule has an accuracy for either class because few rules see every fault: one that is right about 999 of 1000 good
     documents and about a third of the bad ones says much by voting bad and little by voting good. Abstaining says nothing.
     A document with a bad vote starts as bad, others as good; counts are smoothed, and a rule is held to be better than
-    chance: its two accuracies sum to more than 1.
+    chance: its two accuracies sum to more than 1. The share of good documents is held within 0.5 and 0.99: votes alone can't
+    tell a corpus from its opposite, and where all documents vote alike a lower share could turn all of them over. A corpus in which
+    most documents are bad thus counts as half bad; what is then bad still follows from the votes.
     """
     prior, acc = 0.8, [(0.9, 0.5)] * n_rules
     p = {votes: 0.1 if min(votes, default=0) < 0 else 0.95 for votes in patterns}

@@ -3,7 +3,6 @@
 import random
 from collections import Counter
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -107,6 +106,52 @@ def test_estimation_finds_planted_accuracies():
     assert quality_rules.fit({}, 2)[0] == 0.8
 
 
+def plain_votes(text):
+    """The rules' votes from their names and limits, in plain Python."""
+    t, w = (text or "").encode(), words(text)
+    n, chars = max(1, len(w)), sum(len(x.decode()) for x in w)
+    _, _, symbols, dup, repeat = counts(text)
+    lines = sum(bool(x.split()) for x in t.split(b"\n"))
+    marked, bare = sum(any(c in b"#*$%&|<>" for c in x) for x in w), sum(all(c in b"#*$%&|<>" for c in x) for x in w)
+    stops, upper, bangs = sum(x[-1:] in (b".", b"!", b"?", b",") for x in w), sum(65 <= c <= 90 for c in t), t.count(b"!")
+    low = lambda x, good, bad: 1 if x <= good else -1 if x >= bad else 0
+    mean = chars / n
+    return (
+        low(symbols / n, 0.05, 0.2), -1 if not w else 1 if 2.5 <= mean <= 12 else -1 if mean < 1.5 or mean > 20 else 0, low(marked / n, 0.02, 0.2),
+        -1 if dup >= 3 and dup >= 0.3 * lines else 1 if dup <= 0.1 * lines else 0, low(repeat / n, 0.1, 0.4), low(bare / n, 0.02, 0.1),
+        1 if stops / n >= 0.06 else -1 if stops / n <= 0.02 else 0, low(upper / max(1, chars), 0.2, 0.5), low(bangs / n, 0.05, 0.3), 1 if len(w) >= 100 else -1 if len(w) < 10 else 0,
+    )
+
+
+def test_verdicts_agree_with_a_plain_version(spark, sf):
+    """Whole documents table: votes, estimation one document at a time, posterior."""
+    import math
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    votes = [plain_votes(t) for _, t in rows]
+    p, acc, prior = [0.1 if min(v) < 0 else 0.95 for v in votes], [(0.9, 0.5)] * 10, 0.8
+    for _ in range(100):
+        prior = min(0.99, max(0.5, (sum(p) + 1) / (len(p) + 2)))
+        for j in range(10):
+            good = sum(q for q, v in zip(p, votes, strict=True) if v[j] > 0), sum(q for q, v in zip(p, votes, strict=True) if v[j])
+            bad = sum(1 - q for q, v in zip(p, votes, strict=True) if v[j] < 0), sum(1 - q for q, v in zip(p, votes, strict=True) if v[j])
+            a = min(0.999, max(0.5, (good[0] + 0.9) / (good[1] + 1)))
+            acc[j] = a, min(0.99, max(1.001 - a, (bad[0] + 0.5) / (bad[1] + 1)))
+        p = []
+        for v in votes:
+            x = math.log(prior / (1 - prior)) + sum(math.log(a / (1 - b)) if y > 0 else math.log((1 - a) / b) for y, (a, b) in zip(v, acc, strict=True) if y)
+            p.append(1 / (1 + math.exp(-x)))
+    got = QUERIES["op5_quality_rules"](spark, sf).collect()
+    want = {i: (c[0] >= 50 and 100 * c[4] <= 50 * c[0] and q >= 0.5) for (i, t), q in zip(rows, p, strict=True) for c in [counts(t)]}
+    assert {r["doc_id"]: r["kept"] for r in got} == want and len(set(want.values())) == 2
+
+
+def test_a_mostly_bad_corpus_counts_as_half_bad():
+    patterns = Counter({(1, 1, 1): 100, (-1, -1, 1): 300, (-1, 1, -1): 300, (1, -1, -1): 250, (-1, -1, -1): 50})
+    prior, acc = quality_rules.fit(patterns, 3)
+    assert prior == 0.5 and quality_rules.posterior((-1, -1, -1), prior, acc) < 0.5 < quality_rules.posterior((1, 1, 1), prior, acc)
+
+
 def test_rules_tell_rated_documents(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("toxic = 0")
     rows = QUERIES["op5_quality_rules"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").collect()
