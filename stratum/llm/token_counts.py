@@ -7,8 +7,9 @@ greatest, over the pieces that end there, of the score where the piece began plu
 That score depends only on the bytes before it, so it is held at a trie's node and computed once for
 all pre-tokens that share the prefix; the node where a pre-token ends holds its token count.
 
-The vocabulary file is a byte-level rank list; a piece of rank r scores -log(r + 2), Zipf's law for a
-list in order of frequency, shifted so that no score is 0. Equal scores prefer fewer tokens.
+The vocabulary file is a byte-level rank list; a piece's unigram probability is Zipf's law for a list in
+order of frequency, 1 / (r + 2) for rank r over the sum of all, and its score the logarithm. Equal scores prefer
+fewer tokens.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ PRE_TOKEN = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]")
 
 
 def vocabulary(path: str = VOCABULARY) -> dict[bytes, float]:
-    """piece -> score; read on the driver, a few megabytes at most."""
+    """piece -> log probability; read on the driver, a few megabytes at most."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): -math.log(int(b) + 2) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    total = math.log(sum(1 / (r + 2) for r in ranks.values()) or 1)
+    return {piece: -math.log(r + 2) - total for piece, r in ranks.items()}
 
 
 class Trie:
