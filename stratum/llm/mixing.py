@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.common import WORD, cut
+from stratum.llm.common import WORD, beside, cut, numbered
 
 #: Documents whose copies are rounded together.
 PIECE = 500
@@ -50,20 +50,33 @@ def rate(lam: Column, x: Column, most: int) -> Column:
     return most / (1 + (most - 1) * F.exp(-F.least(F.lit(500.0), F.greatest(F.lit(-500.0), lam * x))))
 
 
-def dual(sources: DataFrame, sizes: DataFrame, most: int, power: float, rounds: int = 40) -> DataFrame:
-    """``sources`` with ``lam`` by Newton's method; sizes: (key, size, n). Steps are held within 2."""
-    state = cut(sources.withColumn("lam", F.lit(0.0)).withColumn("mean", F.col("source_size") / F.col("docs")))
+def dual(sources: DataFrame, sizes: DataFrame, most: int, power: float, rounds: int = 200) -> DataFrame:
+    """``sources`` with ``lam`` by Newton's method; sizes: (key, size, n).
+
+    What a source gives grows with its lam, so each step also narrows the interval that holds the solution; a Newton step
+    beyond it is replaced by the interval's middle, and none is longer than 2. ``rounds`` is a bound that raises.
+    """
+    columns = [*sources.columns, "lam", "mean", "low", "high"]
+    nothing = F.lit(None).cast("double")
+    state = cut(sources.withColumn("lam", F.lit(0.0)).withColumn("mean", F.col("source_size") / F.col("docs")).withColumn("low", nothing).withColumn("high", nothing))
     x = F.pow(F.col("size") / F.col("mean"), F.lit(power))
     for _ in range(rounds):
         w = rate(F.col("lam"), x, most)
-        sums = sizes.join(state.select("key", "lam", "mean"), "key").groupBy("key").agg(F.sum(F.col("n") * F.col("size") * w).alias("taken"), F.sum(F.col("n") * F.col("size") * x * w * (1 - w / most)).alias("slope"))
+        sums = beside(sizes, state.select("key", "lam", "mean"), ["key"], ["size"]).groupBy("key").agg(F.sum(F.col("n") * F.col("size") * w).alias("taken"), F.sum(F.col("n") * F.col("size") * x * w * (1 - w / most)).alias("slope"))
         off = F.col("target") - F.col("taken")
-        open_ = (F.col("target") < most * F.col("source_size") * (1 - 1e-9)) & (F.abs(off) > 1e-7 * F.col("source_size")) & (F.col("slope") > 0)
-        step = F.when(open_, F.least(F.lit(2.0), F.greatest(F.lit(-2.0), off / F.col("slope")))).otherwise(0.0)
-        state = cut(state.join(sums, "key", "left").withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("lam", F.col("lam") + F.col("step")).select(*sources.columns, "lam", "mean", "step"))
-        if not state.where(F.abs("step") > 1e-9).limit(1).count():
+        open_ = (F.col("target") < most * F.col("source_size") * (1 - 1e-9)) & (F.abs(off) > 1e-7 * F.col("source_size")) & ((F.col("high") - F.col("low") > 1e-12).isNull() | (F.col("high") - F.col("low") > 1e-12))
+        newton = F.when(F.col("slope") > 0, off / F.col("slope")).otherwise(F.signum(off) * 2)
+        next_ = F.col("lam") + F.least(F.lit(2.0), F.greatest(F.lit(-2.0), newton))
+        low, high = F.when(off > 0, F.col("lam")).otherwise(F.col("low")), F.when(off < 0, F.col("lam")).otherwise(F.col("high"))
+        told = state.join(sums, "key", "left").select(*sources.columns, "lam", "mean", low.alias("low"), high.alias("high"), F.coalesce(open_, F.lit(False)).alias("open"), next_.alias("next"))
+        beyond = (F.col("next") <= F.col("low")) | (F.col("next") >= F.col("high"))
+        lam = F.when(~F.col("open"), F.col("lam")).when(beyond, (F.col("low") + F.col("high")) / 2).otherwise(F.col("next"))
+        state = cut(told.withColumn("lam", F.coalesce(lam, F.col("next"), F.col("lam"))))
+        if state.where("open").limit(1).count() == 0:
             break
-        state = state.drop("step")
+        state = state.select(*columns)
+    else:
+        raise RuntimeError(f"mixing: the dual is not solved after {rounds} rounds")
     return state.select(*sources.columns, "lam", "mean")
 
 
@@ -72,21 +85,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     Sources in order of their code points, null last, weigh ``weights`` in turn; together they are to give ``share``
     times all words, none more than ``most`` times its own. ``copies`` is between 0 and ``most``; taken = copies * size.
-    A null text has size 0 and is taken once or never, which counts nothing. Repeated rows are rows of their own. An empty
-    table gives an empty result; other columns play no part. Reruns agree.
+    A null text has size 0 and is taken once or never, which counts nothing. Repeated rows are rows of their own, and are dealt to
+    pieces like others, however many there are. An empty table gives an empty result; other columns play no part. Reruns agree.
     """
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce(F.col("source"), F.lit("")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = cut(docs.select("doc_id", "source", key.alias("key"), size.alias("size")))
+    base = cut(docs.select("doc_id", "source", key.alias("key"), size.alias("size"), F.xxhash64("text").alias("h")))
     sizes = cut(base.groupBy("key", "size").agg(F.count("*").alias("n")))
     sources = cut(targets(sizes.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs")), weights, share, most))
     solved = dual(sources, sizes.where("size > 0"), most, power)
 
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-9)
     x = F.pow(F.col("size") / F.col("mean"), F.lit(power))
-    rated = base.join(solved, "key").withColumn("rate", F.when(F.col("source_size") == 0, 1.0).when(full, float(most)).otherwise(rate(F.col("lam"), x, most)))
-    piece = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.ceil(F.col("docs") / PIECE))
-    row = F.struct((-F.col("size")).alias("less"), F.xxhash64("doc_id").alias("tie"), "doc_id", "size", "rate", "source")
+    rated = beside(numbered(base, ["doc_id", "key", "h"], PIECE), solved, ["key"], ["doc_id", "h", "nth"]).withColumn("rate", F.when(F.col("source_size") == 0, 1.0).when(full, float(most)).otherwise(rate(F.col("lam"), x, most)))
+    piece = F.pmod(F.xxhash64("doc_id", "h", "nth", F.lit(11)), F.ceil(F.col("docs") / PIECE))
+    row = F.struct((-F.col("size")).alias("less"), F.xxhash64("doc_id", "h").alias("tie"), "doc_id", "size", "rate", "source")
     listed = rated.groupBy("key", "source_size", "target", piece.alias("piece")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
     def diffuse(state, r):

@@ -17,10 +17,12 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.common import cut
+from stratum.llm.common import cut, numbered
 
 #: Documents ranked together in one task; larger groups are ranked in pieces with offsets.
-PIECE = 1000
+PIECE = 500
+#: A group with more than this part of all documents, or PIECE of them, is joined by a broadcast, so at most as many groups are.
+HOT = 10_000
 #: Rounds without a better cut after which it counts as no longer falling.
 PATIENCE = 4
 
@@ -102,18 +104,19 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = 100) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
     Null texts count as empty ones (size 16) and are equal to them. Repeated rows are rows of their own,
-    linked by their equal texts. With fewer rows than shards some shards are empty; an empty table gives an
+    linked by their equal texts, and are ranked in pieces like others, however many there are. With fewer rows than shards some shards are empty; an empty table gives an
     empty result; other columns play no part. Reruns agree: ties are broken by hashes of the contents.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = cut(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h")))
+    base = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
     key = F.struct("h", "text_crc32", "size")
     base = base.withColumn("grp", key).withColumn("first", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).drop("h")
+    base = numbered(cut(base), ["doc_id", "grp"], PIECE)
     total = base.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
 
     spread = base.groupBy("grp", F.col("first").alias("shard")).agg(F.count("*").alias("n"))
-    sizes = spread.groupBy("grp").agg(F.sum("n").alias("members")).where("members > 1")
+    sizes = cut(spread.groupBy("grp").agg(F.sum("n").alias("members")).where("members > 1"))
     held = cut(spread.join(sizes, "grp", "left_semi"))
     for most in (quotas[-1] * 6 // 5, quotas[-1]):  # some slack at first, or full shards could not trade members
         held = settle(propagate(held, shards, quotas[-1], most, rounds), quotas)
@@ -123,19 +126,21 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = 100) -> DataFrame:
     places = held.withColumn("upto", F.sum("n").over(upto)).groupBy("grp").agg(F.sum("n").alias("members"), F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("places"))
     pieces = F.ceil(F.col("members") / PIECE)
     parts = places.select("grp", "places", "members", F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int"))).alias("piece"))
-    joined = base.join(sizes.select("grp", F.col("members")), "grp", "left")
-    lone = joined.where("members IS NULL").select("doc_id", "size", "text_crc32", F.col("first").alias("shard"), F.lit(1).alias("loose"))
-    linked = joined.where("members IS NOT NULL").withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("members") / PIECE)).cast("int"))
+    large = sizes.where(F.col("members") > max(PIECE, total // HOT))  # fewer than HOT rows
+    marked = base.join(F.broadcast(large.withColumnRenamed("members", "many")), "grp", "left")
+    joined = marked.where("many IS NULL").drop("many").join(sizes, "grp", "left").unionByName(marked.where("many IS NOT NULL").withColumnRenamed("many", "members"))
+    lone = joined.where("members IS NULL").select("doc_id", "size", "text_crc32", "nth", F.col("first").alias("shard"), F.lit(1).alias("loose"))
+    linked = joined.where("members IS NOT NULL").withColumn("piece", F.pmod(F.xxhash64("doc_id", "nth", F.lit(7)), F.ceil(F.col("members") / PIECE)).cast("int"))
     counts = linked.groupBy("grp", "piece").count()
     start = F.coalesce(F.sum("count").over(Window.partitionBy("grp").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("start", start).join(parts.drop("members"), ["grp", "piece"]).drop("count")
     within = F.row_number().over(Window.partitionBy("grp", "piece").orderBy("doc_id")) - 1
     put = linked.withColumn("within", within).join(starts, ["grp", "piece"]).withColumn("at", F.col("start") + F.col("within"))
-    put = put.select("doc_id", "size", "text_crc32", F.filter("places", lambda p: p["upto"] > F.col("at"))[0]["shard"].alias("shard"), F.lit(0).alias("loose"))
+    put = put.select("doc_id", "size", "text_crc32", "nth", F.filter("places", lambda p: p["upto"] > F.col("at"))[0]["shard"].alias("shard"), F.lit(0).alias("loose"))
 
     # linked documents take the first slots of their shard, so that what exceeds the law is not linked
     pieces = F.lit(max(1, -(-total // (shards * PIECE))))
-    placed = put.unionByName(lone).withColumn("piece", F.col("loose") * pieces + F.pmod(F.xxhash64("doc_id", F.lit(7)), pieces))
+    placed = put.unionByName(lone).withColumn("piece", F.col("loose") * pieces + F.pmod(F.xxhash64("doc_id", "text_crc32", "nth", F.lit(7)), pieces))
     placed = cut(placed)
     counts = placed.groupBy("shard", "piece").count()
     start = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

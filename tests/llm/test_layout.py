@@ -5,8 +5,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratum.llm import mixing, sharding
+from stratum.llm.common import beside, cut, numbered, shared_folder
 from tests.llm.helpers import awkward, frame, prose, words
 
 
@@ -132,6 +134,59 @@ def test_mixing_reruns_agree(spark):
     mixed(mixing.mix(frame(spark, rows)).collect(), rows)
 
 
+@pytest.mark.parametrize("ids", [lambda k: 7, lambda k: None, lambda k: k % 3])
+def test_rows_of_one_id_are_dealt_out(spark, monkeypatch, ids):
+    monkeypatch.setattr(mixing, "PIECE", 100)
+    monkeypatch.setattr(sharding, "PIECE", 100)
+    rows = [(ids(k), f"text {'same' if k % 2 else k % 900}", None, "a" if k % 4 else "b") for k in range(10_000)]
+    df = frame(spark, rows, clash=False)
+    base = cut(df.select("doc_id", "text"))
+    dealt = numbered(base, ["doc_id", "text"], 100).groupBy(F.pmod(F.xxhash64("doc_id", "text", "nth"), F.lit(100))).count().collect()
+    assert sum(r["count"] for r in dealt) == len(rows) and max(r["count"] for r in dealt) < 400
+    laid_out(sharding.assign(df, 8).collect(), rows, 8)
+    sizes, taken, target = mixed(mixing.mix(df).collect(), rows)
+    assert all(abs(taken[s] - target[s]) < 0.01 * target[s] + 60 for s in sizes)
+
+
+def test_many_sources_are_joined_salted(spark):
+    rows = cut(spark.range(1000).selectExpr("id", "CASE WHEN id < 500 THEN 'hot' ELSE 's' || id END key"))
+    few = cut(rows.groupBy("key").count())
+    for most in (10_000, 5):
+        out = beside(rows, few, ["key"], ["id"], most=most)
+        assert out.columns == ["key", "id", "count"] and out.count() == 1000 and out.where("key = 'hot'").agg(F.sum("count")).first()[0] == 250_000
+
+
+def test_an_unsolved_dual_raises(spark):
+    rows = [(k, "w " * (1 + k % 40), None, f"s{k % 2}") for k in range(50)]
+    sizes = cut(spark.createDataFrame([("0s0", 5, 10), ("0s0", 9, 4)], "key string, size long, n long"))
+    sources = cut(spark.createDataFrame([("0s0", 86, 14, 120.0)], "key string, source_size long, docs long, target double"))
+    with pytest.raises(RuntimeError, match="not solved"):
+        mixing.dual(sources, sizes, 2, 0.5, rounds=1)
+    assert mixing.dual(sources, sizes, 2, 0.5).count() == 1 and mixing.mix(frame(spark, rows)).count() == 50
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        def __init__(self, master, folder=None):
+            self.sparkContext, self.conf, self.folder = Context(master), self, folder
+
+        def get(self, name, default):
+            return self.folder
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(Session(master))
+        assert shared_folder(Session(master, "hdfs:///c")) == "hdfs:///c"
+    assert all(shared_folder(Session(m)) for m in ("local", "local[*]", "local[4,2]"))
+
+
 def test_mixing_nothing(spark):
     assert mixing.mix(frame(spark, awkward()).limit(0)).count() == 0
     out = mixing.mix(frame(spark, [(1, None, None, "a"), (2, "", None, None)])).collect()
