@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import WordHashes, cut, distinct, mix, release, shingle_hashes, texts
+from stratum.llm.common import WordHashes, beside, cut, distinct, mix, release, shingle_hashes, texts
 from stratum.llm.components import components
 from stratum.llm.exchange import exchange, frame, n_shards, parts, press, split, split_high, unpress
 
@@ -300,7 +300,8 @@ def search_groups(sets: DataFrame, clusters: DataFrame, block_docs: int, block_s
     placed = cut(sets.select("node", "n").join(clusters, "node"))
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
-    large = sizes.withColumn("blocks", blocks).where("blocks > 1").select("cluster", "blocks")
+    large = cut(sizes.withColumn("blocks", blocks).where("blocks > 1").select("cluster", "blocks"))
+    large = F.broadcast(large) if large.count() <= 200_000 else large
     total = placed.agg(F.count("*"), F.sum("n")).first()
     bins = max(1, (total[1] or 0) * 2 // block_shingles, total[0] * 2 // block_docs)
     placed = placed.select("node", "cluster").join(large, "cluster", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int"))
@@ -346,8 +347,8 @@ def join(docs: DataFrame, words: int = 5, least: int = 80, block_docs: int = 600
     links = cut(grouped.groupBy("g", "i", "j").applyInArrow(linked, "a long, b long, n_links long"))
     counts = links.where("n_links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("others"))
     joined = cut(components(links.where("n_links IS NULL").select("a", "b").unionAll(repeated_ids(signed, classes))))
-    names = classes.join(joined, "node").groupBy("component").agg(F.min("rep").alias("name"))
-    told = classes.join(counts, "node", "left").join(joined.join(names, "component"), "node", "left")
+    names = cut(classes.join(joined, "node").groupBy("component").agg(F.min("rep").alias("name")))
+    told = classes.join(counts, "node", "left").join(beside(joined, names, ["component"], ["node"], salts=8), "node", "left")
     told = cut(told.select(*KEY, "class_size", F.coalesce("name", "rep").alias("component_id"), (F.col("class_size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
 
     rows, many = signed.select("doc_id", *KEY), max(1, signed.count() // hot)
