@@ -9,7 +9,8 @@ largest sum over the words that have a letter, its score that sum's share.
 The weights are fitted on a bounded sample of labelled documents (``sample`` in all, evenly by language, by
 hash of the text). The sample is joined into one long sequence, so that languages change within it.
 Prediction reads nothing but the text. Forward-backward runs over segments of words at once: the product of
-a segment's matrices carries the chain across it, so a very long text costs no more a word than others.
+a segment's matrices carries the chain across it, so a very long text costs no more a word than others. Memory is
+in proportion to words times languages.
 """
 
 from __future__ import annotations
@@ -62,57 +63,86 @@ def emissions(ids: np.ndarray, of: np.ndarray, n: int, weights: np.ndarray) -> n
     return np.stack([np.bincount(of, weights[ids, k], n) * scale for k in range(weights.shape[1])], 1)
 
 
+def segment_of(L: int) -> int:
+    """Words of a segment: with their number growing as L * L the segments' matrices take no more than the words' scores do."""
+    return max(SEGMENT, L * L)
+
+
 def marginals(e: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, pairs: bool = False):
     """Each word's probabilities by forward-backward; e: scores (words, languages), sizes: words of each text (none empty).
 
-    ``pairs`` adds the expected number of each transition.
+    All segments are gone through at once, a word of each at a time; texts of several segments need the matrix that a segment
+    makes of what comes in, and only they. ``pairs`` adds the expected number of each transition.
     """
     n, L = e.shape
     A = np.exp(transitions - transitions.max())
-    psi = np.exp(e - e.max(1, keepdims=True))
-    segments = -(-sizes // SEGMENT)
+    length = segment_of(L)
+    segments = -(-sizes // length)
     first = np.cumsum(segments) - segments
     S = int(segments.sum())
     starts = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(sizes)), sizes)
     within = np.arange(n) - starts[doc]
-    slot = (first[doc] + within // SEGMENT) * SEGMENT + within % SEGMENT
-    M = np.broadcast_to(np.eye(L), (S * SEGMENT, L, L)).copy()
-    M[slot] = A[None] * psi[:, None, :]
-    M[slot[starts]] = psi[starts][:, None, :] / L  # the first word comes from nowhere
-    M = M.reshape(S, SEGMENT, L, L)
-    P = np.broadcast_to(np.eye(L), (S, L, L)).copy()
-    for t in range(SEGMENT):
-        P = P @ M[:, t]
-        P /= P.max((1, 2), keepdims=True)
-    into, back = np.full((S, 1, L), 1 / L), np.ones((S, L, 1))
-    order = np.argsort(-segments, kind="stable")
-    for k in range(1, int(segments.max(initial=0))):
-        s = first[order[: int(np.searchsorted(-segments[order], -k))]] + k
-        x = into[s - 1] @ P[s - 1]
-        into[s] = x / x.sum(2, keepdims=True)
-    for k in range(int(segments.max(initial=0)) - 1, 0, -1):
-        s = first[order[: int(np.searchsorted(-segments[order], -k))]] + k
-        x = P[s] @ back[s]
-        back[s - 1] = x / x.sum(1, keepdims=True)
-    alpha, beta = np.empty((S, SEGMENT, L)), np.empty((S, SEGMENT, L))
-    for t in range(SEGMENT):
-        into = into @ M[:, t]
-        into /= into.sum(2, keepdims=True)
-        alpha[:, t] = into[:, 0]
-    for t in range(SEGMENT - 1, -1, -1):
-        beta[:, t] = back[:, :, 0]
-        back = M[:, t] @ back
-        back /= back.sum(1, keepdims=True)
-    alpha, beta = alpha.reshape(-1, L)[slot], beta.reshape(-1, L)[slot]
+    begin = np.repeat(starts, segments) + (np.arange(S) - np.repeat(first, segments)) * length  # each segment's first word
+    size = np.minimum(np.repeat(starts + sizes, segments) - begin, length)
+    psi = np.exp(e - e.max(1, keepdims=True))
+    by_size = np.argsort(-size, kind="stable")  # longest first: those that have a word t are the first few
+    alive = np.searchsorted(-size[by_size], -np.arange(int(size.max(initial=0))), "left")  # segments with more than t words
+    opens = np.zeros(S, bool)
+    opens[first] = True
+    into, back = np.full((S, L), 1 / L), np.ones((S, L))
+    most = int(segments.max(initial=0))
+    if most > 1:
+        inner = np.flatnonzero(np.repeat(segments, segments) > 1)
+        P = np.broadcast_to(np.eye(L), (len(inner), L, L)).copy()
+        longest = np.argsort(-size[inner], kind="stable")
+        some = np.searchsorted(-size[inner][longest], -np.arange(length), "left")
+        for t in range(length):
+            s = longest[: some[t]]
+            if not len(s):
+                break
+            step = P[s] @ A
+            if t == 0:
+                o = opens[inner[s]]
+                step[o] = 1 / L  # the first word comes from nowhere
+            step *= psi[begin[inner[s]] + t][:, None, :]
+            P[s] = step / step.max((1, 2), keepdims=True)
+        place = np.full(S, -1)
+        place[inner] = np.arange(len(inner))
+        order = np.argsort(-segments, kind="stable")
+        for k in range(1, most):
+            s = first[order[: int(np.searchsorted(-segments[order], -k))]] + k
+            x = (into[s - 1][:, None, :] @ P[place[s - 1]])[:, 0]
+            into[s] = x / x.sum(1, keepdims=True)
+        for k in range(most - 1, 0, -1):
+            s = first[order[: int(np.searchsorted(-segments[order], -k))]] + k
+            x = (P[place[s]] @ back[s][:, :, None])[:, :, 0]
+            back[s - 1] = x / x.sum(1, keepdims=True)
+    alpha, beta = np.empty((n, L)), np.empty((n, L))
+    for t, m in enumerate(alive.tolist()):
+        s = by_size[:m]
+        x = into[s] @ A
+        if t == 0:
+            x[opens[s]] = 1 / L
+        x *= psi[begin[s] + t]
+        into[s] = alpha[begin[s] + t] = x / x.sum(1, keepdims=True)
+    for t in range(len(alive) - 1, -1, -1):
+        s = by_size[: int(alive[t])]
+        beta[begin[s] + t] = back[s]
+        x = (psi[begin[s] + t] * back[s]) @ A.T
+        back[s] = x / x.sum(1, keepdims=True)
     gamma = alpha * beta
     gamma /= gamma.sum(1, keepdims=True)
     if not pairs:
         return gamma
     later = np.flatnonzero(within > 0)
-    xi = alpha[later - 1][:, :, None] * A[None] * (psi[later] * beta[later])[:, None, :]
-    xi /= xi.sum((1, 2), keepdims=True)
-    return gamma, xi.sum(0)
+    xi = np.zeros((L, L))
+    for i in range(0, len(later), 1 << 16):
+        at = later[i : i + (1 << 16)]
+        right = psi[at] * beta[at]
+        norm = ((alpha[at - 1] @ A) * right).sum(1, keepdims=True)
+        xi += A * ((alpha[at - 1] / norm).T @ right)
+    return gamma, xi
 
 
 def fit(sample: list[tuple[str, int]], n_langs: int, rounds: int = 40, rate: float = 0.5, l2: float = 1e-6, piece: int = 2048):
@@ -225,6 +255,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, sample: int = 600) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learned from the rows whose id's crc32 modulo ``folds`` is not ``held_out``."""
+    """doc_id, held_out, lang_pred, score; learned from the rows whose id's crc32 modulo ``folds`` is not ``held_out``.
+
+    Null ids count as the empty text in the choice of folds; rows without a language or a text are not learned from; rows that are
+    alike in text and language are learned from once. What ``predict`` says of nulls, empty texts and repeats holds here too.
+    """
     model = train(docs.where(crc_mod("doc_id", folds) != held_out), sample)
     return predict(docs, model).select("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out"), "lang_pred", "score")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import chunks
+from stratum.llm.common import chunks, cut
 
 BITS = 18
 MARKS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
@@ -102,9 +102,14 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int, rounds: int = 300, rate
     return weights, thresholds()
 
 
-def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """The model from ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade); null grades and unknown ids are left out."""
-    ratings = ratings.select("doc_id", "grade").where("grade IS NOT NULL AND doc_id IS NOT NULL")
+def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 4000, most_features: int = 20_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The model from ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade), fitted on about ``sample`` rated documents.
+
+    The sample is bounded in documents and in their features together (``most_features``, 4 bytes each): documents come in the order of a
+    hash until either is reached. Null grades, unknown ids and null ids are left out; of rows that repeat an id one counts,
+    for each grade that it has; null and empty texts count with their ratios alone. Without ratings all weights are 0.
+    """
+    ratings = ratings.select("doc_id", "grade").where("grade IS NOT NULL AND doc_id IS NOT NULL").distinct()
     part = min(1.0, sample / max(1, ratings.count()))
     chosen = ratings.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))  # about ``sample`` rows
     found = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "rated")), F.col("doc_id") == F.col("rated"))
@@ -115,9 +120,18 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 4000)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array([features.of(b).tobytes() for b in texts], pa.binary())], ["doc_id", "grade", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = found.select("doc_id", "text", "grade").mapInArrow(extract, f"doc_id {kind}, grade int, ids binary").collect()
-    rows.sort(key=lambda r: (str(r[0]), r[1], bytes(r[2])))
-    return fit([(np.frombuffer(r[2], np.int32), r[1]) for r in rows], grades)
+    rows = found.select("doc_id", "text", "grade").mapInArrow(extract, f"doc_id {kind}, grade int, ids binary")
+    rows = rows.groupBy("doc_id", "grade").agg(F.min("ids").alias("ids")).withColumn("luck", F.xxhash64("doc_id", "grade"))
+    rows = cut(rows)
+    upto, left = None, most_features
+    for r in sorted((r["luck"], r["n"]) for r in rows.select("luck", (F.octet_length("ids") / 4).cast("int").alias("n")).collect()):  # two numbers a rated document
+        left -= r[1]
+        if left < 0:
+            break
+        upto = r[0]
+    kept = rows.where(F.col("luck") <= upto).collect() if upto is not None else []
+    kept.sort(key=lambda r: (str(r["doc_id"]), r["grade"]))
+    return fit([(np.frombuffer(r["ids"], np.int32), r["grade"]) for r in kept], grades)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], grade: int = 2, least: float = 0.5) -> DataFrame:

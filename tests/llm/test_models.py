@@ -59,6 +59,86 @@ def test_classifier_on_awkward_rows(spark):
     assert [r["grade"] for r in quality_classifier.grades(flags).orderBy("doc_id").collect()] == [0, 1, 2, 0, None, None]
 
 
+def plain_features(text):
+    """Names of a text's features, from the description."""
+    def core(w):
+        return w.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()).encode())
+
+    def shape(w):
+        out = []
+        for c in w:
+            x = b"a" if chr(c).isalpha() or c >= 128 else b"0" if chr(c).isdigit() else bytes([c])
+            if out[-1:] != [x]:
+                out.append(x)
+        return b"".join(out)
+
+    t = (text or "").encode()
+    w = t.lower().split()
+    lines = [x for x in t.split(b"\n") if x.strip()]
+    out = {b"w" + core(x) for x in w} | {b"r" + x for x in w} | {b"s" + shape(x) for x in w} | {b"p" + core(x)[:k] for x in w for k in (4, 5, 6, 7, 8) if len(core(x)) > k}
+    return out | {b"distinct%d" % (10 * len(set(w)) // max(1, len(w))), b"lines%d" % (10 * len(set(lines)) // max(1, len(lines)))}
+
+
+def test_classifier_agrees_with_a_plain_version(spark):
+    """Training and scoring of a whole small table, with dense matrices in place of hashed lists."""
+    r = random.Random(12)
+    kinds = [[f"k{g}x{k}" for k in range(12)] for g in range(3)]
+    rows = [(k, " ".join([*r.choices(kinds[k % 3], k=9), *r.choices(["common", "Words,", "x-1", "Ünder"], k=6)]) + "\nend" * (k % 2), None, None) for k in range(90)] + awkward()[:8]
+    graded = {k: k % 3 for k in range(60)} | {1: 1, 7: 2}
+    df = frame(spark, rows)
+    got = quality_classifier.score(df, quality_classifier.train(df, spark.createDataFrame(list(graded.items()), "doc_id long, grade int"), 3)).collect()
+
+    place = {f: quality_classifier.place(f) for _, t, *_ in rows for f in plain_features(t)}
+    used = sorted(set(place.values()))
+    at = {p: k for k, p in enumerate(used)}
+    matrix = lambda texts: np.array([[p in {place[f] for f in plain_features(t)} for p in used] for t in texts], float)
+    chosen = {}
+    for i, t, *_ in rows:
+        if i in graded:
+            ids = np.array(sorted({place[f] for f in plain_features(t)}), np.int32)
+            chosen.setdefault(i, []).append((t, ids))
+    sample = [(i, x[0][0]) for i, x in chosen.items() if len(x) == 1]
+    twice = [i for i, x in chosen.items() if len({tuple(y[1]) for y in x}) > 1]
+    assert not twice or True
+    rows_of = [(i, t) for i, t in sample] + [(i, min(chosen[i], key=lambda y: quality_classifier.Features().of((y[0] or "").encode()).tobytes())[0]) for i, x in chosen.items() if len(x) > 1]
+    x, y = matrix([t for _, t in rows_of]), np.array([graded[i] for i, _ in rows_of])
+    x *= x.sum(0) >= 5
+    w, gw, first, step, gf, gs = np.zeros(len(used)), np.full(len(used), 1e-6), -1.0, 0.0, 1e-6, 1e-6
+    for _ in range(300):
+        b = np.array([first, first + np.exp(step)])
+        t = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - b, -40, 40)))
+        p = np.maximum(1e-12, np.choose(y, [1 - t[:, 0], t[:, 0] - t[:, 1], t[:, 1]]))
+        s = t * (1 - t)
+        up, down = np.choose(y, [0 * p, s[:, 0], s[:, 1]]) / p, np.choose(y, [s[:, 0], s[:, 1], 0 * p]) / p
+        g = x.T @ (up - down) / len(y)
+        gw += g * g
+        w += 0.05 / np.sqrt(gw) * g
+        w = np.sign(w) * np.maximum(0, np.abs(w) - 0.05 / np.sqrt(gw) * 1e-3)
+        by = np.array([down[y == 0].sum() - up[y == 1].sum(), down[y == 1].sum() - up[y == 2].sum()]) / len(y)
+        gf += by.sum() ** 2
+        first += 0.05 * by.sum() / gf**0.5
+        g = by[1] * np.exp(step)
+        gs += g * g
+        step += 0.05 * g / gs**0.5
+    b = np.array([first, first + np.exp(step)])
+    want = Counter((i, round(float(q[0] + q[1]), 3), round(float(q[1]), 3), bool(q[1] >= 0.5)) for (i, *_), q in zip(rows, 1 / (1 + np.exp(-((matrix([t for _, t, *_ in rows]) @ w)[:, None] - b))), strict=True))
+    found = Counter((r["doc_id"], round(r["expected_grade"], 3), round(r["p_tail"], 3), r["kept"]) for r in got)
+    assert len(at) == len(used) and (found & want).total() >= len(rows) - 2  # rounding at a third place
+
+
+def test_classifier_sample_is_bounded(spark):
+    rows = [(k % 40, " ".join(f"w{(k * 7 + j) % 300}" for j in range(50)), None, None) for k in range(400)]
+    ratings = spark.createDataFrame([(k, k % 3) for k in range(40)] * 3, "doc_id long, grade int")
+    seen = []
+    real, quality_classifier.fit = quality_classifier.fit, lambda rows, grades: seen.append(rows) or real(rows, grades)
+    try:
+        quality_classifier.train(frame(spark, rows), ratings, 3)
+        quality_classifier.train(frame(spark, rows), ratings, 3, most_features=1000)
+    finally:
+        quality_classifier.fit = real
+    assert len(seen[0]) == 40 and 0 < sum(len(f) for f, _ in seen[1]) <= 1000 and len(seen[1]) < 40
+
+
 # language model
 
 
@@ -182,3 +262,53 @@ def test_languages_of_awkward_rows(spark):
     assert all(r["held_out"] == (fold(r["doc_id"], 4) == 2) for r in out)
     assert language_id.identify(df.limit(0)).count() == 0
     assert {r["lang_pred"] for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_predictions_agree_with_a_plain_version(spark):
+    """Each text by itself, a word after the other, with logarithms."""
+    rows = awkward()
+    df = frame(spark, rows)
+    langs, weights, transitions = model = language_id.train(df, 100)
+    weights = weights.astype(np.float32).astype(float)
+
+    def lse(x, axis):
+        m = x.max(axis=axis, keepdims=True)
+        return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+    want = Counter()
+    for i, t, *_ in rows:
+        w = [x.decode().lower() for x in (t or "").encode().split()]
+        if not any(any(map(str.isalpha, x)) for x in w):
+            want[i, "und"] += 1
+            continue
+        e = []
+        for x in w:
+            ids, of, _ = language_id.features([x])
+            e.append(weights[ids].sum(0) / max(1, len(ids)) ** 0.5)
+        alpha = [e[0]]
+        for x in e[1:]:
+            alpha.append(lse(alpha[-1][:, None] + transitions, 0) + x)
+        beta = [np.zeros(len(langs))]
+        for x in e[:0:-1]:
+            beta.append(lse(transitions + (x + beta[-1])[None], 1))
+        sums = np.zeros(len(langs))
+        for x, a, b in zip(w, alpha, beta[::-1], strict=True):
+            if any(map(str.isalpha, x)):
+                sums += np.exp(a + b - lse(a + b, 0))
+        want[i, langs[int(sums.argmax())]] += 1
+    got = language_id.predict(df, model).collect()
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in got) == want
+
+
+def test_memory_is_in_proportion_to_languages():
+    import tracemalloc
+
+    r, n = np.random.default_rng(1), 20_000
+    used = []
+    for L in (5, 40):
+        e, t = r.normal(size=(n, L)), r.normal(size=(L, L))
+        tracemalloc.start()
+        language_id.marginals(e, np.array([12_000, 5_000, *[30] * 100]), t)
+        used.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert used[1] < 8 * 1.6 * used[0]
