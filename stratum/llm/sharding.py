@@ -111,7 +111,7 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = 100) -> DataFrame:
     base = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
     key = F.struct("h", "text_crc32", "size")
     base = base.withColumn("grp", key).withColumn("first", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).drop("h")
-    base = numbered(cut(base), ["doc_id", "grp"], PIECE)
+    base = cut(base)
     total = base.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
 
@@ -127,8 +127,9 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = 100) -> DataFrame:
     pieces = F.ceil(F.col("members") / PIECE)
     parts = places.select("grp", "places", "members", F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int"))).alias("piece"))
     large = sizes.where(F.col("members") > max(PIECE, total // HOT))  # fewer than HOT rows
-    marked = base.join(F.broadcast(large.withColumnRenamed("members", "many")), "grp", "left")
+    marked = numbered(base, ["doc_id", "grp"], PIECE).join(F.broadcast(large.withColumnRenamed("members", "many")), "grp", "left")
     joined = marked.where("many IS NULL").drop("many").join(sizes, "grp", "left").unionByName(marked.where("many IS NOT NULL").withColumnRenamed("many", "members"))
+    joined = cut(joined)  # lone and linked rows, and the latter's counts, read it: else the joins run again for each
     lone = joined.where("members IS NULL").select("doc_id", "size", "text_crc32", "nth", F.col("first").alias("shard"), F.lit(1).alias("loose"))
     linked = joined.where("members IS NOT NULL").withColumn("piece", F.pmod(F.xxhash64("doc_id", "nth", F.lit(7)), F.ceil(F.col("members") / PIECE)).cast("int"))
     counts = linked.groupBy("grp", "piece").count()

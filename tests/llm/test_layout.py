@@ -1,6 +1,7 @@
 """Sharding and mixing."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -148,6 +149,37 @@ def test_rows_of_one_id_are_dealt_out(spark, monkeypatch, ids):
     assert all(abs(taken[s] - target[s]) < 0.01 * target[s] + 60 for s in sizes)
 
 
+def looked_up(spark, work):
+    """Rows that the left joins on groups or on ids made while ``work`` ran, by Spark's own counts."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    last, made = max([-1, *(x.executionId() for x in each(store.executionsList()))]), Counter()
+    work()
+    bus.waitUntilEmpty()
+    for k in (x.executionId() for x in each(store.executionsList()) if x.executionId() > last):
+        counts = store.executionMetrics(k)
+        for node in each(store.planGraph(k).allNodes()):
+            key = re.search(r"(grp|doc_id)#\d+.*LeftOuter", node.desc())
+            for m in each(node.metrics()) if key else ():
+                if m.name() == "number of output rows" and counts.contains(m.accumulatorId()):
+                    made[key[1]] += int(counts.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
+def each(seq):
+    return (seq.apply(k) for k in range(seq.size()))
+
+
+def test_group_sizes_are_looked_up_once(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 50)
+    rows = [(k if k < 800 else 7, "the same" if k % 2 else f"text {k // 4}", None, None) for k in range(2000)]  # a large group, small ones, many rows of one id
+    out = []
+    made = looked_up(spark, lambda: out.extend(sharding.assign(frame(spark, rows), 8).collect()))
+    laid_out(out, rows, 8)
+    # a row goes by the large groups and, if it is in none, by the others; and twice by the ids that repeat, as the two are told apart
+    assert 2000 < made["grp"] <= 2 * 2000 and 0 < made["doc_id"] <= 2 * 2000
+
+
 def test_many_sources_are_joined_salted(spark):
     rows = cut(spark.range(1000).selectExpr("id", "CASE WHEN id < 500 THEN 'hot' ELSE 's' || id END key"))
     few = cut(rows.groupBy("key").count())
